@@ -6,7 +6,9 @@ ids are classes of their own, others share classes by frequency, with corpus sha
 class. Texts are scored in overlapping context windows, each id once, in masked batches.
 Since ids that begin a word have classes of their own, the model also gives the probability
 that a word ends, so whole words have probabilities; these are mixed at a fixed rate with
-the word's share of the corpus. A text's score is the sum over its words and its end.
+the word's smoothed share of the corpus. That share, as in the base score, counts all words
+unknown to the corpus as one type, and the spelling's probability under the network bounds
+that type's from below. A text's score is the sum over its words and its end.
 
 Counts cover the whole corpus. Documents are dealt to chunks of bounded size, and only the
 distinct words of each chunk travel to meet their counts. The network learns from a fixed
@@ -72,7 +74,7 @@ class Classes:
     n: int
 
     @staticmethod
-    def by_frequency(counts: np.ndarray, begins: np.ndarray, n: int = 128, shared: int = 32) -> Classes:
+    def by_frequency(counts: np.ndarray, begins: np.ndarray, n: int = 256, shared: int = 64) -> Classes:
         counts = counts + 0.01
         order = np.argsort(-counts, kind="stable")
         own = order[: n - shared]
@@ -215,30 +217,40 @@ class LanguageModel:
         self.near = np.where(_CAUSAL, np.exp(model.bias[_REL]), 0).astype(np.float32)
         self.value = np.concatenate([model.value, np.zeros((1, model.value.shape[1]), np.float32)])
         self.out = model.out
+        self.sums = np.ones((n, 2), np.float32)
+        self.sums[classes.beginning :, 0] = 0
 
-    def token_logs(self, ids: np.ndarray, lengths: np.ndarray, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    def token_logs(self, ids: np.ndarray, lengths: np.ndarray, step: int = 24) -> tuple[np.ndarray, np.ndarray]:
         """Of the ids of several texts: log probability, and log probability that a word begins there."""
         c = self.classes.of[ids]
         ends = np.cumsum(lengths)
         pairs = [windows(c[a:b], self.n) for a, b in zip(ends - lengths, ends)]
         inputs, targets = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
         logs, starts = np.empty(targets.size, np.float32), np.empty(targets.size, np.float32)
+        n, none = self.n, np.int32(self.n + 1)
+        keys = np.where(inputs >= 0, inputs, none)
+        current = np.where(inputs >= 0, inputs, np.int32(n))[:, CONTEXT - STRIDE :]
+        at_targets = np.maximum(targets, 0).ravel()
+        rows = np.arange(step * STRIDE)
+        # Work arrays are kept, small enough to stay in a core's cache.
+        direct, p = np.empty((step * STRIDE, n), np.float32), np.empty((step * STRIDE, n), np.float32)
         for at in range(0, len(inputs), step):
-            x, t = inputs[at : at + step], targets[at : at + step]
-            keys = np.where(x >= 0, x, self.n + 1)
-            current = np.where(x >= 0, x, self.n)[:, CONTEXT - STRIDE :]
-            a = self.pair[current[:, :, None] * (self.n + 2) + keys[:, None, :]]
+            k, c = keys[at : at + step], current[at : at + step]
+            m = c.size
+            a = self.pair.take(c[:, :, None] * (none + 1) + k[:, None, :])
             a *= self.near
-            o = (a @ self.value[keys]).reshape(-1, self.value.shape[1])
-            o /= a.sum(-1).reshape(-1, 1) + 1e-30
-            p = o @ self.out
-            np.exp(p, out=p)
-            p *= self.direct[current.ravel()]
-            begin = p[:, : self.classes.beginning].sum(1)
-            total = begin + p[:, self.classes.beginning :].sum(1)
-            flat = slice(at * STRIDE, at * STRIDE + t.size)
-            logs[flat] = np.log(p[np.arange(t.size), np.maximum(t.ravel(), 0)] / total + 1e-30)
-            starts[flat] = np.log(begin / total + 1e-30)
+            o = (a @ self.value[k]).reshape(m, -1)
+            o /= a.sum(-1).reshape(m, 1) + 1e-30
+            q, d = p[:m], direct[:m]
+            np.matmul(o, self.out, out=q)
+            np.exp(q, out=q)
+            self.direct.take(c.ravel(), axis=0, out=d, mode="clip")
+            q *= d
+            sums = q @ self.sums
+            flat = slice(at * STRIDE, at * STRIDE + m)
+            logs[flat] = q[rows[:m], at_targets[flat]] / sums[:, 1]
+            starts[flat] = sums[:, 0] / sums[:, 1]
+        logs, starts = np.log(logs + 1e-30), np.log(starts + 1e-30)
         live = targets.ravel() >= 0
         return logs[live] + self.classes.inside[ids], starts[live].astype(np.float64)
 
@@ -375,7 +387,7 @@ def _score_chunk(lm, path: str, train_docs: int, total: int, distinct: int, mix:
         ids = np.fromiter((i for f in found for i in f), np.int64, int(size.sum()))
         count = np.append(words.column("c").to_numpy().astype(np.float64), train_docs)
         base = np.log10(count + 1) - log_total
-        share = count / max(1, total)
+        share = 10**base
         end = len(vocabulary)
         rows, waiting, waiting_ids = [], [], 0
 
@@ -413,7 +425,7 @@ def _score_chunk(lm, path: str, train_docs: int, total: int, distinct: int, mix:
 
 def score(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, vocabulary: str | None = None,
-    chunk_bytes: int = 24 << 20, sample_every: int = 16, mix: float = 0.5,
+    chunk_bytes: int = 24 << 20, sample_every: int = 32, mix: float = 0.5,
 ) -> DataFrame:
     """One row per document (schema ``SCHEMA``).
 
