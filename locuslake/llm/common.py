@@ -67,6 +67,11 @@ def in_fold(column, modulus: int, remainder: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % modulus == remainder
 
 
+def let(value, body):
+    """``body`` of a column expression that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_bytes(column: pa.Array) -> list:
     """A string column as UTF-8 bytes (None stays None), without decoding."""
     if isinstance(column, pa.ChunkedArray):
