@@ -1,9 +1,10 @@
 """Language-model scoring with a causal self-attention model trained in numpy on subword ids.
 
 Words are lower-cased (A-Z) and cut into subword ids of a public vocabulary. One attention
-layer with relative positions predicts the class of each id from the ids before it; frequent
-ids are classes of their own, others share classes by frequency, with corpus shares inside a
-class. Texts are scored in overlapping context windows, each id once, in masked batches.
+layer with relative positions predicts the class of each id from the ids before it, group by
+group: attention over the context gives the group, the class before it the class within the
+group. Frequent ids are classes of their own, others share classes by frequency, with corpus
+shares inside a class; groups are clusters of classes that follow the same classes. Texts are scored in overlapping context windows, each id once, in masked batches.
 Since ids that begin a word have classes of their own, the model also gives the probability
 that a word ends, so whole words have probabilities; these are mixed at a fixed rate with
 the word's smoothed share of the corpus. That share, as in the base score, counts all words
@@ -74,7 +75,7 @@ class Classes:
     n: int
 
     @staticmethod
-    def by_frequency(counts: np.ndarray, begins: np.ndarray, n: int = 128, shared: int = 32) -> Classes:
+    def by_frequency(counts: np.ndarray, begins: np.ndarray, n: int = 512, shared: int = 96) -> Classes:
         counts = counts + 0.01
         order = np.argsort(-counts, kind="stable")
         own = order[: n - shared]
@@ -100,9 +101,46 @@ class Classes:
         return Classes(of, inside, beginning, len(groups))
 
 
+@dataclass
+class Groups:
+    """Group of each class and log probability of a class in its group after a class (row n: before the first)."""
+
+    of: np.ndarray
+    member: np.ndarray
+    beginning: int
+    n: int
+
+    @staticmethod
+    def by_context(pairs: np.ndarray, beginning: int, each: int = 28, seed: int = 3) -> Groups:
+        """Clusters of the classes' predecessors, apart for classes that begin words."""
+        n = pairs.shape[1]
+        rng = np.random.default_rng(seed)
+        expected = (pairs.sum(1, keepdims=True) + 1) * (pairs.sum(0) + 1) / (pairs.sum() + n)
+        ppmi = np.log(np.maximum(1.0, (pairs + 0.1) / (expected + 0.1))).T
+        u, s, _ = np.linalg.svd(ppmi, full_matrices=False)
+        points = u[:, :16] * s[:16]
+        weight = pairs.sum(0) + 1
+        of, first = np.zeros(n, np.int32), 0
+        for a, b in ((0, beginning), (beginning, n)):
+            x, w = points[a:b], weight[a:b]
+            centres = x[np.argsort(-w, kind="stable")[:each]]
+            for _ in range(12):
+                at = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+                centres = np.stack([np.average(x[at == k], axis=0, weights=w[at == k]) if (at == k).any() else x[rng.integers(len(x))] for k in range(len(centres))])
+            at = np.unique(at, return_inverse=True)[1]
+            of[a:b] = at + first
+            first += int(at.max()) + 1
+            if not a:
+                begins = first
+        share = (pairs.sum(0) + 0.1) / np.bincount(of, weights=pairs.sum(0) + 0.1, minlength=first)[of]
+        by_group = np.stack([np.bincount(of, weights=r, minlength=first) for r in pairs])
+        member = np.log((pairs + 4 * share) / (by_group[:, of] + 4))
+        return Groups(of, member.astype(np.float32), begins, first)
+
+
 @dataclass
 class Attention:
-    """Tables by class of the current id (row n: before the first): direct logits, query, key, value; relative bias; output."""
+    """Tables by class of the current id (row n: before the first): direct logits of groups, query, key, value; relative bias; output."""
 
     direct: np.ndarray
     query: np.ndarray
@@ -112,14 +150,15 @@ class Attention:
     out: np.ndarray
 
     @staticmethod
-    def initial(pairs: np.ndarray, width: int = 16, seed: int = 1) -> Attention:
-        """Direct logits from counts of class pairs, the rest small and random."""
+    def initial(pairs: np.ndarray, groups: Groups, width: int = 16, seed: int = 1) -> Attention:
+        """Direct logits from counts of a class and the group after it, the rest small and random."""
         n = pairs.shape[1]
-        share = (pairs.sum(0) + 1) / (pairs.sum() + n)
-        direct = np.log((pairs + 20 * share) / (pairs.sum(1, keepdims=True) + 20))
+        after = np.stack([np.bincount(groups.of, weights=r, minlength=groups.n) for r in pairs])
+        share = (after.sum(0) + 1) / (after.sum() + groups.n)
+        direct = np.log((after + 10 * share) / (after.sum(1, keepdims=True) + 10))
         rng = np.random.default_rng(seed)
         draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        return Attention(direct.astype(np.float32), draw(n + 1, width), draw(n + 1, width), draw(n + 1, width), np.zeros(CONTEXT, np.float32), draw(width, n))
+        return Attention(direct.astype(np.float32), draw(n + 1, width), draw(n + 1, width), draw(n + 1, width), np.zeros(CONTEXT, np.float32), draw(width, groups.n))
 
     def arrays(self) -> list[np.ndarray]:
         return [self.direct, self.query, self.key, self.value, self.bias, self.out]
@@ -157,15 +196,26 @@ def windows(classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return inputs[at + np.arange(CONTEXT)], targets.reshape(blocks, STRIDE)
 
 
+def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by row of a table."""
+    order = np.argsort(rows, kind="stable")
+    used, start = np.unique(rows[order], return_index=True)
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[used] = np.add.reduceat(values[order], start, 0)
+    return out
+
+
 class Trainer:
-    def __init__(self, model: Attention, rate: float = 0.004):
-        self.model, self.rate, self.step = model, rate, 0
+    """Adam on the cross entropy of groups."""
+
+    def __init__(self, model: Attention, groups: Groups, rate: float = 0.004):
+        self.model, self.groups, self.rate, self.step = model, groups, rate, 0
         self.first = [np.zeros_like(a) for a in model.arrays()]
         self.second = [np.zeros_like(a) for a in model.arrays()]
 
     def batch(self, inputs: np.ndarray, targets: np.ndarray) -> float:
         m = self.model
-        n = m.direct.shape[1]
+        n = len(m.direct) - 1
         mask = (inputs >= 0)[:, None, :] & _CAUSAL
         keys = np.where(inputs >= 0, inputs, n)
         current = keys[:, CONTEXT - STRIDE :]
@@ -175,7 +225,7 @@ class Trainer:
         a = np.exp(s - s.max(-1, keepdims=True))
         a /= a.sum(-1, keepdims=True)
         o = a @ v
-        flat_o, cur, t = o.reshape(-1, o.shape[-1]), current.ravel(), targets.ravel()
+        flat_o, cur, t = o.reshape(-1, o.shape[-1]), current.ravel(), np.where(targets >= 0, self.groups.of[targets], -1).ravel()
         logits = m.direct[cur] + flat_o @ m.out
         p = np.exp(logits - logits.max(-1, keepdims=True))
         p /= p.sum(-1, keepdims=True)
@@ -184,10 +234,6 @@ class Trainer:
         loss = -np.log(p[rows, np.maximum(t, 0)] + 1e-30)[live].sum()
         p[rows, np.maximum(t, 0)] -= 1
         p *= (live / max(1, live.sum())).astype(np.float32)[:, None]
-        cur_hot = np.zeros((n + 1, len(cur)), np.float32)
-        cur_hot[cur, rows] = 1
-        key_hot = np.zeros((n + 1, keys.size), np.float32)
-        key_hot[keys.ravel(), np.arange(keys.size)] = 1
         g_out = flat_o.T @ p
         g_o = (p @ m.out.T).reshape(o.shape)
         g_a = g_o @ v.transpose(0, 2, 1)
@@ -196,7 +242,9 @@ class Trainer:
         g_bias = np.bincount(_REL.ravel(), weights=(g_s.sum(0) * _CAUSAL).ravel(), minlength=CONTEXT).astype(np.float32)
         g_q, g_k = g_s @ k, g_s.transpose(0, 2, 1) @ q
         w = o.shape[-1]
-        grads = [cur_hot @ p, cur_hot @ g_q.reshape(-1, w), key_hot @ g_k.reshape(-1, w), key_hot @ g_v.reshape(-1, w), g_bias, g_out]
+        all_keys = keys.ravel()
+        both = _by_row(all_keys, np.concatenate([g_k.reshape(-1, w), g_v.reshape(-1, w)], 1), n + 1)
+        grads = [_by_row(cur, p, n + 1), _by_row(cur, g_q.reshape(-1, w), n + 1), both[:, :w], both[:, w:], g_bias, g_out]
         self.step += 1
         for x, g, f1, f2 in zip(m.arrays(), grads, self.first, self.second):
             f1 += 0.1 * (g - f1)
@@ -208,32 +256,34 @@ class Trainer:
 class LanguageModel:
     """A trained model ready to score: exponentials of all tables are taken once."""
 
-    def __init__(self, classes: Classes, model: Attention):
-        n = model.direct.shape[1]
-        self.classes, self.n = classes, n
+    def __init__(self, classes: Classes, groups: Groups, model: Attention):
+        n = len(model.direct) - 1
+        self.classes, self.groups, self.n = classes, groups, n
+        self.member = np.ascontiguousarray(groups.member).ravel()
         self.direct = np.exp(model.direct - model.direct.max(1, keepdims=True))
         pair = np.exp(np.clip(model.query @ model.key.T, -30, 30))
         self.pair = np.ascontiguousarray(np.concatenate([pair, np.zeros((n + 1, 1), np.float32)], 1)).ravel()  # last: no input
         self.near = np.where(_CAUSAL, np.exp(model.bias[_REL]), 0).astype(np.float32)
         self.value = np.concatenate([model.value, np.zeros((1, model.value.shape[1]), np.float32)])
         self.out = model.out
-        self.sums = np.ones((n, 2), np.float32)
-        self.sums[classes.beginning :, 0] = 0
+        self.sums = np.ones((groups.n, 2), np.float32)
+        self.sums[groups.beginning :, 0] = 0
 
-    def token_logs(self, ids: np.ndarray, lengths: np.ndarray, step: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    def token_logs(self, ids: np.ndarray, lengths: np.ndarray, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Of the ids of several texts: log probability, and log probability that a word begins there."""
         c = self.classes.of[ids]
         ends = np.cumsum(lengths)
         pairs = [windows(c[a:b], self.n) for a, b in zip(ends - lengths, ends)]
         inputs, targets = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
         logs, starts = np.empty(targets.size, np.float32), np.empty(targets.size, np.float32)
-        n, none = self.n, np.int32(self.n + 1)
+        n, none, width = self.n, np.int32(self.n + 1), self.groups.n
         keys = np.where(inputs >= 0, inputs, none)
         current = np.where(inputs >= 0, inputs, np.int32(n))[:, CONTEXT - STRIDE :]
-        at_targets = np.maximum(targets, 0).ravel()
+        at_classes = np.maximum(targets, 0).ravel()
+        at_targets = self.groups.of[at_classes]
         rows = np.arange(step * STRIDE)
         # Work arrays are kept, small enough to stay in a core's cache.
-        direct, p = np.empty((step * STRIDE, n), np.float32), np.empty((step * STRIDE, n), np.float32)
+        direct, p = np.empty((step * STRIDE, width), np.float32), np.empty((step * STRIDE, width), np.float32)
         for at in range(0, len(inputs), step):
             k, c = keys[at : at + step], current[at : at + step]
             m = c.size
@@ -250,7 +300,7 @@ class LanguageModel:
             flat = slice(at * STRIDE, at * STRIDE + m)
             logs[flat] = q[rows[:m], at_targets[flat]] / sums[:, 1]
             starts[flat] = sums[:, 0] / sums[:, 1]
-        logs, starts = np.log(logs + 1e-30), np.log(starts + 1e-30)
+        logs, starts = np.log(logs + 1e-30) + self.member.take(current.ravel() * np.int32(n) + at_classes), np.log(starts + 1e-30)
         live = targets.ravel() >= 0
         return logs[live] + self.classes.inside[ids], starts[live].astype(np.float64)
 
@@ -323,8 +373,8 @@ def _tree_sum(rows: DataFrame) -> np.ndarray:
     return sum(np.frombuffer(r.data, np.float64) for r in parts)
 
 
-def train(sample: DataFrame, classes: Classes, path: str, *, rounds: int = 2, batch: int = 64) -> Attention:
-    """Counts class pairs in the sample, then averages the weights that its partitions reach in each round."""
+def train(paired: DataFrame, sample: DataFrame, classes: Classes, path: str, *, rounds: int = 2, batch: int = 64) -> LanguageModel:
+    """Counts class pairs in one sample, then averages the weights that partitions of another reach in each round."""
     from pyspark import TaskContext
 
     spark = sample.sparkSession
@@ -340,13 +390,15 @@ def train(sample: DataFrame, classes: Classes, path: str, *, rounds: int = 2, ba
             found += np.bincount(np.concatenate([[n], c[:-1]]) * n + c, minlength=len(found))
         yield row(found)
 
-    model = Attention.initial(_tree_sum(sample.mapInArrow(pairs, "part int, data binary")).reshape(n + 1, n))
+    counts = _tree_sum(paired.mapInArrow(pairs, "part int, data binary")).reshape(n + 1, n)
+    groups = Groups.by_context(counts, classes.beginning)
+    model = Attention.initial(counts, groups)
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(model)
 
         def learn(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             base = start.value
-            trainer, seen = Trainer(base.like(base.flat())), 0
+            trainer, seen = Trainer(base.like(base.flat()), groups), 0
             inputs, targets = [], []
             for c in _texts(batches, path, shared.value):
                 x, t = windows(c, n)
@@ -368,7 +420,7 @@ def train(sample: DataFrame, classes: Classes, path: str, *, rounds: int = 2, ba
         total = _tree_sum(sample.mapInArrow(learn, "part int, data binary"))
         if total[-1]:
             model = model.like(total[:-1] / total[-1])
-    return model
+    return LanguageModel(classes, groups, model)
 
 
 def _score_chunk(lm, path: str, train_docs: int, total: int, distinct: int, mix: float):
@@ -425,14 +477,15 @@ def _score_chunk(lm, path: str, train_docs: int, total: int, distinct: int, mix:
 
 def score(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, vocabulary: str | None = None,
-    chunk_bytes: int = 24 << 20, sample_every: int = 32, mix: float = 0.5,
+    chunk_bytes: int = 24 << 20, pairs_every: int = 8, sample_every: int = 32, mix: float = 0.5,
 ) -> DataFrame:
     """One row per document (schema ``SCHEMA``).
 
     A null or empty text is its end token alone. Null ids stay null and belong to the fold of
     the empty id. Repeated rows are counted and scored as often as they come. With no training
     documents all counts are 0. An empty table gives no rows; other columns are not read.
-    ``sample_every``: the network learns from every so-manieth training document by hash.
+    Class pairs are counted in every ``pairs_every``-th training document by hash, and the network
+    learns from every ``sample_every``-th.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     spark = docs.sparkSession
@@ -453,8 +506,8 @@ def score(
         id_counts[r.id] = r.n
     id_counts[END] = size.train
     classes = Classes.by_frequency(id_counts, subwords(path).begins)
-    sample = source.where("train").where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(sample_every)) == 0).select("text")
-    lm = spark.sparkContext.broadcast(LanguageModel(classes, train(sample, classes, path)))
+    of_every = lambda n: source.where("train").where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(n)) == 0).select("text")
+    lm = spark.sparkContext.broadcast(train(of_every(pairs_every), of_every(sample_every), classes, path))
     wanted = words.select("chunk", "word").join(counts, "word")
     run = _score_chunk(lm, path, size.train, total, distinct, mix)
     return dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(run, SCHEMA)
