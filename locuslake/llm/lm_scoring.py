@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -332,19 +333,35 @@ def _count_chunk(group: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(np.full(len(index), chunk, np.int32)), "word": pa.array(list(index), pa.binary()), "n": pa.array(counts, pa.int64())})
 
 
-def _subword_counts(path: str):
+def _encoded(path: str):
+    """Words with their subword ids, as little-endian 16-bit integers."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = subwords(path).of, np.zeros(END + 1, np.int64)
+        encode = subwords(path).of
         for batch in batches:
-            found = [encode(w) for w in batch.column(0).to_pylist()]
-            flat = np.fromiter((i for f in found for i in f), np.int64)
-            total += np.bincount(flat, weights=np.repeat(batch.column(1).to_numpy(), [len(f) for f in found]), minlength=END + 1).astype(np.int64)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
+            ids = [np.array(encode(w), "<u2").tobytes() for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["word", "c", "ids"])
 
     return run
 
 
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of encoded words, and the number of each word."""
+    ids = np.frombuffer(b"".join(column.to_pylist()), "<u2").astype(np.int64)
+    size = pc.binary_length(column).to_numpy().astype(np.int64) // 2
+    return ids, size
+
+
+def _subword_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(END + 1, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            ids, size = _ragged(pa.chunked_array([batch.column(1)]))
+            total += np.bincount(ids, weights=np.repeat(batch.column(0).to_numpy(), size), minlength=END + 1).astype(np.int64)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
+
+
 def _texts(batches: Iterable[pa.RecordBatch], path: str, classes: Classes) -> Iterator[np.ndarray]:
     encode = subwords(path).of
     cache: dict[bytes, list[int]] = {}
@@ -423,20 +440,19 @@ def train(paired: DataFrame, sample: DataFrame, classes: Classes, path: str, *,
     return LanguageModel(classes, groups, model)
 
 
-def _score_chunk(lm, path: str, train_docs: int, total: int, distinct: int, mix: float):
+def _score_chunk(lm, train_docs: int, total: int, distinct: int, mix: float):
     log_total = math.log10(total + 1 * (distinct + 1))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({k: pa.array([], t) for k, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
-        model, encode = lm.value, subwords(path).of
+        model = lm.value
         vocabulary = words.column("word").to_pylist()
         index = {w: i for i, w in enumerate(vocabulary)}
-        found = [encode(w) for w in vocabulary] + [[END]]
-        size = np.array([len(f) for f in found])
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        ids = np.fromiter((i for f in found for i in f), np.int64, int(size.sum()))
+        ids, size = _ragged(words.column("ids"))
+        ids, size = np.append(ids, END), np.append(size, 1)
+        begin = np.cumsum(size) - size
         count = np.append(words.column("c").to_numpy().astype(np.float64), train_docs)
         base = np.log10(count + 1) - log_total
         share = 10**base
@@ -477,7 +493,7 @@ def _score_chunk(lm, path: str, train_docs: int, total: int, distinct: int, mix:
 
 def score(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, vocabulary: str | None = None,
-    chunk_bytes: int = 24 << 20, pairs_every: int = 8, sample_every: int = 32, mix: float = 0.5,
+    chunk_bytes: int = 24 << 20, pairs_every: int = 16, sample_every: int = 40, mix: float = 0.5,
 ) -> DataFrame:
     """One row per document (schema ``SCHEMA``).
 
@@ -496,11 +512,11 @@ def score(
     chunks = max(1, -(-((size.bytes or 0) + 16 * size.rows) // chunk_bytes))
     dealt = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     words = scratch.save(dealt.groupBy("chunk").applyInArrow(_count_chunk, "chunk int, word binary, n long"), "words")
-    counts = scratch.save(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    counts = scratch.save(words.groupBy("word").agg(F.sum("n").alias("c")).mapInArrow(_encoded(path), "word binary, c long, ids binary"), "counts")
     known = counts.where("c > 0")
     sums = known.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (sums.n or 0) + size.train, sums.v + (size.train > 0)
-    by_id = known.mapInArrow(_subword_counts(path), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # ids are bounded by the vocabulary
+    by_id = known.select("c", "ids").mapInArrow(_subword_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # ids are bounded by the vocabulary
     id_counts = np.zeros(END + 1)
     for r in by_id:
         id_counts[r.id] = r.n
@@ -509,7 +525,7 @@ def score(
     of_every = lambda n: source.where("train").where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(n)) == 0).select("text")
     lm = spark.sparkContext.broadcast(train(of_every(pairs_every), of_every(sample_every), classes, path))
     wanted = words.select("chunk", "word").join(counts, "word")
-    run = _score_chunk(lm, path, size.train, total, distinct, mix)
+    run = _score_chunk(lm, size.train, total, distinct, mix)
     return dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(run, SCHEMA)
 
 
