@@ -1,4 +1,6 @@
 """Registered queries of the fine-mapping engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import fits, relational
+
+QUERIES = {**fits.QUERIES, **{name: relational.query(name) for name in relational.SELECTS}}
+ORACLE_SQL = {name: relational.sql(name, "duckdb") for name in relational.SELECTS}
