@@ -5,8 +5,9 @@ each region darts arrive at hashed times, ranks and coordinates, the same in eve
 that covers the region. A signature keeps the earliest dart of each coordinate, so two
 documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 Signatures are joined by bands. In a bucket, members are compared with a few centres. Where
-the others of a bucket aren't of one class then, the links between them are found by their
-rarest runs, of which similar documents share one. Comparisons are exact.
+the others of a bucket aren't of one class then, links between classes are looked for by
+their rarest runs, of which similar documents share one: at each run a class sends a few
+members, in steps, until a step finds no link. Comparisons are exact.
 """
 
 from __future__ import annotations
@@ -182,8 +183,8 @@ def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(total, doc)), pa.array(np.full(total, name)), pa.array(signed(unit)), pa.array(np.full(total, total))], names=["doc", "class", "unit", "size"])
 
 
-def _prefix_pairs(rest: DataFrame, content: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Pairs of different classes that share one of their rarest runs, as all pairs above the threshold do.
+def _prefixes(rest: DataFrame, content: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(doc, unit): the rarest runs of documents, of which all pairs above the threshold share one.
 
     Of n runs, repeats counted apart, two documents of similarity t share one of the
     ``n - ceil(t n) + 1`` that come first in any common order. Rare runs come first, so edits
@@ -192,13 +193,21 @@ def _prefix_pairs(rest: DataFrame, content: DataFrame, threshold: float, scratch
     units = scratch.save(content.join(rest, "doc").select("doc", "class", "text").mapInArrow(_units, "doc long, class long, unit long, size long"), "units")
     rarity = units.groupBy("unit").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     ordered = units.join(rarity, "unit").withColumn("at", F.row_number().over(Window.partitionBy("doc").orderBy("n", "unit")))
-    first = ordered.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1) & F.expr("low < high")).select("doc", "class", "unit")
-    first = scratch.save(first, "prefixes")
-    a, b = first.select(F.col("doc").alias("a"), F.col("class").alias("class_a"), "unit"), first.select(F.col("doc").alias("b"), F.col("class").alias("class_b"), "unit")
+    first = ordered.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1) & F.expr("low < high"))
+    return scratch.save(first.select("doc", "unit"), "prefixes")
+
+
+def _class_pairs(prefixes: DataFrame, labels: DataFrame, members: int, step: int) -> DataFrame:
+    """Pairs of different classes that share a run. One link joins two classes, so at each run a class sends a few members, others at other runs and steps."""
+    named = prefixes.join(labels, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+    sent = named.groupBy("unit", "class", F.pmod(F.xxhash64("doc", "unit", F.lit(step)), F.lit(members)).alias("part")).agg(F.min("doc").alias("doc"))
+    mixed = sent.groupBy("unit").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("unit")
+    sent = sent.join(mixed, "unit", "left_semi")
+    a, b = sent.select(F.col("doc").alias("a"), F.col("class").alias("class_a"), "unit"), sent.select(F.col("doc").alias("b"), F.col("class").alias("class_b"), "unit")
     return a.join(b, "unit").where("a < b AND class_a <> class_b").select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, centres: int = 8) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, centres: int = 8, members: int = 4) -> DataFrame:
     """(doc_id, class_id, representative) for every row; the class is named by its least document id.
 
     Documents are linked where the weighted Jaccard similarity of their runs of five words is
@@ -233,8 +242,14 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     left = scratch.save(left, "left")
     still = left.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
     rest = scratch.save(left.join(still, "band", "left_semi").select("doc", "class").distinct(), "rest")
-    more = _links(_prefix_pairs(rest, content, threshold, scratch), bits, content, scratch, threshold, "rest")
-    labels = components(links.unionByName(more), scratch, "second")
+    prefixes, step = _prefixes(rest, content, threshold, scratch), 0
+    while True:  # until a step finds no link between classes
+        step += 1
+        more = _links(_class_pairs(prefixes, labels, members, step), bits, content, scratch, threshold, f"step-{step}")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links, scratch, f"labels-{step}")
     of_text = texts.select("key", "doc")
     of_text = of_text.join(labels, "doc", "left").select("key", F.coalesce("class", "doc").alias("class"))
     by_doc = signed_rows.select("doc_id", "key").join(of_text, "key").groupBy("doc_id").agg(F.min("class").alias("class"))
