@@ -95,7 +95,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     if len(set(labels.tolist())) < 2:
         return FactorisationMachine(model.bias, model.linear, np.zeros((d, rank)), edges)
     vectors = Vectors(edges)
-    data = [(np.concatenate([b, vectors.binned(s)]), np.concatenate([x, np.full(len(s), STATISTIC_VALUE)])) for b, x, s in rows]
+    data = [(np.concatenate([b.astype(np.int32), vectors.binned(s).astype(np.int32)]), np.concatenate([x, np.full(len(s), STATISTIC_VALUE, np.float32)])) for b, x, s in rows]
     params = np.concatenate([model.linear[:, None], model.factors], 1)
     first, second, step = np.zeros_like(params), np.zeros_like(params), 0
     for _ in range(epochs):
@@ -131,16 +131,16 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [vectors.raw(t or b"") for t in text_bytes(batch.column(1))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64())), pa.array([f[2] for f in found], pa.list_(pa.float64())), batch.column(2)],
+            [batch.column(0), *(pa.array([f[k].astype(kind).tobytes() for f in found], pa.binary()) for k, kind in enumerate(("<u2", "<f4", "<f8"))), batch.column(2)],
             names=["doc_id", "buckets", "tf", "stats", "label"],
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus: int = 5, held_out: int = 0, max_labelled: int = 12_000) -> FactorisationMachine:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus: int = 5, held_out: int = 0, max_labelled: int = 5_000) -> FactorisationMachine:
     """Fits on at most ``max_labelled`` labelled rows outside the held-out fold; vectors are made on the executors."""
     rows = training_rows(docs, labels, label=label, modulus=modulus, held_out=held_out, limit=max_labelled)
-    got = rows.mapInArrow(_features, "doc_id long, buckets array<long>, tf array<double>, stats array<double>, label int").toPandas().sort_values("doc_id")
-    return fit([(np.asarray(b), np.asarray(t), np.asarray(s)) for b, t, s in zip(got.buckets, got.tf, got.stats)], got.label.to_numpy(float))
+    got = sorted(rows.mapInArrow(_features, "doc_id long, buckets binary, tf binary, stats binary, label int").collect())
+    return fit([(np.frombuffer(r.buckets, "<u2"), np.frombuffer(r.tf, "<f4"), np.frombuffer(r.stats, "<f8")) for r in got], np.array([float(r.label) for r in got]))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
