@@ -27,8 +27,8 @@ win AS MATERIALIZED (
 ),
 low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
 hit AS (SELECT win.doc_id, win.i FROM win JOIN low USING (h) WHERE win.doc_id > low.low),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS at FROM hit),
-list_gone AS (SELECT doc_id, list(at) AS ats FROM gone GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS gone_at FROM hit),
+list_gone AS (SELECT doc_id, list(gone_at) AS ats FROM gone GROUP BY doc_id),
 kept AS (
   SELECT w.doc_id, len(w.words) AS n, coalesce(len(g.ats), 0) AS removed,
          CASE WHEN g.ats IS NULL THEN w.words
