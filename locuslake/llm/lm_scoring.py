@@ -12,9 +12,9 @@ unknown to the corpus as one type, and the spelling's probability under the netw
 that type's from below. A text's score is the sum over its words and its end.
 
 Counts cover the whole corpus. Documents are dealt to chunks of bounded size, and only the
-distinct words of each chunk travel to meet their counts. The network learns from a fixed
-share of all training documents, so what it reads grows with the corpus; each partition
-trains on its own part and the weights are averaged after every round.
+distinct words of each chunk travel to meet their counts. Class pairs are counted in all
+training documents and the network learns from all of them; each partition trains on its own
+part and the weights are averaged after every round.
 """
 
 from __future__ import annotations
@@ -391,7 +391,7 @@ def _tree_sum(rows: DataFrame) -> np.ndarray:
 
 
 def train(paired: DataFrame, sample: DataFrame, classes: Classes, path: str, *, rounds: int = 2, batch: int = 64) -> LanguageModel:
-    """Counts class pairs in one sample, then averages the weights that partitions of another reach in each round."""
+    """Counts class pairs in the texts of ``paired``, then averages the weights that partitions of ``sample`` reach in each round."""
     from pyspark import TaskContext
 
     spark = sample.sparkSession
@@ -493,15 +493,15 @@ def _score_chunk(lm, train_docs: int, total: int, distinct: int, mix: float):
 
 def score(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, vocabulary: str | None = None,
-    chunk_bytes: int = 24 << 20, pairs_every: int = 16, sample_every: int = 40, mix: float = 0.5,
+    chunk_bytes: int = 24 << 20, pairs_every: int = 1, sample_every: int = 1, mix: float = 0.5,
 ) -> DataFrame:
     """One row per document (schema ``SCHEMA``).
 
     A null or empty text is its end token alone. Null ids stay null and belong to the fold of
     the empty id. Repeated rows are counted and scored as often as they come. With no training
     documents all counts are 0. An empty table gives no rows; other columns are not read.
-    Class pairs are counted in every ``pairs_every``-th training document by hash, and the network
-    learns from every ``sample_every``-th.
+    Class pairs are counted in all training documents, and the network learns from all of them,
+    unless ``pairs_every`` or ``sample_every`` asks for every n-th by hash.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     spark = docs.sparkSession

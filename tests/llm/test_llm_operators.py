@@ -177,6 +177,20 @@ def test_language_model(spark, docs, empty, texts):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_language_model_learns_from_all_training_documents(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def train(paired, sample, *_):
+        raise Seen(sorted(r.text for r in paired.collect()), sorted(r.text for r in sample.collect()))
+
+    monkeypatch.setattr(lm_scoring, "train", train)
+    with pytest.raises(Seen) as found:
+        lm_scoring.score(spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string"))
+    expected = sorted(f"text {i}" for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2)
+    assert found.value.args == (expected, expected)
+
+
 def test_windows_score_each_token_once():
     x, t = lm_scoring.windows(np.arange(40, dtype=np.int32), 99)
     assert [v for v in t.ravel() if v >= 0] == list(range(40)) and x[0, 16] == 99 and x[1, 0] == 99
