@@ -6,8 +6,9 @@ that covers the region. A signature keeps the earliest dart of each coordinate,
 documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 Signatures are joined by bands. In a bucket, members are compared with a few centres. Where
 the others of a bucket aren't of one class then, links between classes are looked for by
-their rarest runs, of which similar documents share one: at each run a class sends a few
-members, in steps, until a step finds no link. Comparisons are exact.
+their rarest runs, of which similar documents share one: all members of different classes
+that share such a run are compared, except where lengths and the place of the run rule the
+similarity out. Comparisons are exact.
 """
 
 from __future__ import annotations
@@ -168,7 +169,11 @@ def _links(pairs: DataFrame, bits: DataFrame, content: DataFrame, scratch: Scrat
     # Four standard deviations of the estimate below the threshold.
     least = threshold - 4 * (threshold * (1 - threshold) / SIZE) ** 0.5
     likely = scratch.save(with_bits.select("a", "b", "bits_a", "bits_b").mapInArrow(_estimated(least), "a long, b long"), f"{name}-likely")
-    with_texts = likely.join(content.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").join(content.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    return _exact_links(likely, content, scratch, threshold, name)
+
+
+def _exact_links(pairs: DataFrame, content: DataFrame, scratch: Scratch, threshold: float, name: str) -> DataFrame:
+    with_texts = pairs.join(content.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").join(content.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
     return scratch.save(with_texts.select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold), "a long, b long"), f"{name}-links")
 
 
@@ -184,7 +189,7 @@ def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(rest: DataFrame, content: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(doc, unit): the rarest runs of documents, of which all pairs above the threshold share one.
+    """(doc, unit, at, size): the rarest runs of documents, of which all pairs above the threshold share one.
 
     Of n runs, repeats counted apart, two documents of similarity t share one of the
     ``n - ceil(t n) + 1`` that come first in any common order. Rare runs come first, so edits
@@ -194,20 +199,31 @@ def _prefixes(rest: DataFrame, content: DataFrame, threshold: float, scratch: Sc
     rarity = units.groupBy("unit").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     ordered = units.join(rarity, "unit").withColumn("at", F.row_number().over(Window.partitionBy("doc").orderBy("n", "unit")))
     first = ordered.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1) & F.expr("low < high"))
-    return scratch.save(first.select("doc", "unit"), "prefixes")
+    return scratch.save(first.select("doc", "unit", "at", "size"), "prefixes")
+
+
+def _reachable(threshold: float):
+    """Whether documents a and b can reach the threshold if this is the first run of the order that they share.
+
+    Their lengths bound the similarity, and only runs that come later in both can be shared
+    besides. Similar documents pass at the first run they share, so none is lost.
+    """
+    shared = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    return shared >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6
 
 
-def _class_pairs(prefixes: DataFrame, labels: DataFrame, members: int, step: int) -> DataFrame:
-    """Pairs of different classes that share a run. One link joins two classes, so at each run a class sends a few members, others at other runs and steps."""
+def _all_pairs(prefixes: DataFrame, labels: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """All pairs of different classes that share a run and can reach the threshold. Documents of a run are dealt to blocks, each of which meets all of them."""
     named = prefixes.join(labels, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
-    sent = named.groupBy("unit", "class", F.pmod(F.xxhash64("doc", "unit", F.lit(step)), F.lit(members)).alias("part")).agg(F.min("doc").alias("doc"))
-    mixed = sent.groupBy("unit").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("unit")
-    sent = sent.join(mixed, "unit", "left_semi")
-    a, b = sent.select(F.col("doc").alias("a"), F.col("class").alias("class_a"), "unit"), sent.select(F.col("doc").alias("b"), F.col("class").alias("class_b"), "unit")
-    return a.join(b, "unit").where("a < b AND class_a <> class_b").select("a", "b").distinct()
+    mixed = named.groupBy("unit").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("low < high").select("unit", "blocks")
+    rows = named.join(mixed, "unit")
+    a, b = (rows.select("unit", "blocks", F.col("doc").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("class", "at", "size"))) for s in "ab")
+    a = a.withColumn("block", F.expr("pmod(xxhash64(a), blocks)").cast("int")).drop("blocks")
+    b = b.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    return a.join(b, ["unit", "block"]).where(F.expr("a < b AND class_a <> class_b") & _reachable(threshold)).select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, centres: int = 8, members: int = 4) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, centres: int = 8) -> DataFrame:
     """(doc_id, class_id, representative) for every row; the class is named by its least document id.
 
     Documents are linked where the weighted Jaccard similarity of their runs of five words is
@@ -242,14 +258,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     left = scratch.save(left, "left")
     still = left.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
     rest = scratch.save(left.join(still, "band", "left_semi").select("doc", "class").distinct(), "rest")
-    prefixes, step = _prefixes(rest, content, threshold, scratch), 0
-    while True:  # until a step finds no link between classes
-        step += 1
-        more = _links(_class_pairs(prefixes, labels, members, step), bits, content, scratch, threshold, f"step-{step}")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        labels = components(links, scratch, f"labels-{step}")
+    last = scratch.save(_all_pairs(_prefixes(rest, content, threshold, scratch), labels, threshold), "last-pairs")
+    more = _exact_links(last, content, scratch, threshold, "last")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more), scratch, "last")
     of_text = texts.select("key", "doc")
     of_text = of_text.join(labels, "doc", "left").select("key", F.coalesce("class", "doc").alias("class"))
     by_doc = signed_rows.select("doc_id", "key").join(of_text, "key").groupBy("doc_id").agg(F.min("class").alias("class"))

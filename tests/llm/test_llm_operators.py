@@ -86,6 +86,26 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.classes(empty).count() == 0
 
 
+def test_near_duplicates_of_a_hot_group_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(400):
+        w = base.copy()
+        for k in rng.choice(100, 1 + i % 3, replace=False):
+            w[k] = f"e{rng.integers(3)}"
+        rows.append((i, " ".join(w)))
+    runs = [{tuple(t.split()[k : k + 5]) for k in range(96)} for _, t in rows]
+    expected = list(range(400))
+    for a in range(400):
+        for b in range(a):
+            if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]) and expected[a] != expected[b]:
+                low, high = sorted((expected[a], expected[b]))
+                expected = [low if c == high else c for c in expected]
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string"), centres=1).collect()}
+    assert [got[i] for i in range(400)] == expected and len(set(expected)) > 1
+
+
 def test_darts_agree_as_weighted_jaccard():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**62, 300).astype(np.uint64)
