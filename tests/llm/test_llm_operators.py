@@ -191,6 +191,19 @@ def test_toxicity_held_out_and_disguised(spark):
     assert plain > clean + 2 and hidden > clean + 2
 
 
+def test_toxicity_reads_all_of_long_words_and_runs(spark):
+    docs, labels, _ = _labelled(spark, "toxic")
+    scorer = toxicity.Scorer(toxicity.train(docs, labels))
+    words = "the one of and that with from this".split() * 9
+    for sign in ("\u00a0", ",", "_", "/"):
+        clean, bad = (scorer.logit(sign.join(words + w).encode()) for w in (["nation"], ["awful", "@wful", "awful", "of"]))
+        assert bad > clean + 2, sign
+    for n in (3, 30):
+        clean, bad = (scorer.logit(" ".join("".join(words[:n]) + w).encode()) for w in ("nationthis", "awfulthis"))
+        assert bad > clean + 1, n
+    assert scorer.logit("the\u00a0awful one".encode()) > scorer.logit("the\u00a0nation one".encode()) + 1
+
+
 def test_language_model(spark, docs, empty, texts):
     rows = lm_scoring.score(docs.where("text IS NULL OR length(text) < 2000"), sample_every=1, pairs_every=1).collect()
     assert all(np.isfinite(r.score) and r.score < 0 for r in rows) and {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
