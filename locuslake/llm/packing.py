@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -89,13 +90,23 @@ _encoders: dict = {}
 
 
 def encoder(path: str):
-    """The tokenizer's vocabulary as a byte-pair encoder; its ids are those of the JSON file."""
+    """Function from a text to its ids by the JSON file, from its vocabulary as a byte-pair encoder; texts are cut at its added tokens first."""
     if path not in _encoders:
         import tiktoken
 
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"{path} has added tokens that aren't matched literally")
+        special = {t["content"]: t["id"] for t in added}
+        encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+        def encode(text: str) -> list[int]:
+            return encoding.encode(text, allowed_special="all") if any(t in text for t in special) else encoding.encode_ordinary(text)
+
+        _encoders[path] = encode
     return _encoders[path]
 
 
@@ -158,7 +169,7 @@ def pack(
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         blocks = _Blocks(TaskContext.get().partitionId() << 32, capacity, piece, block)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

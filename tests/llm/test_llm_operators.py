@@ -52,6 +52,17 @@ def test_packing_round_trip(docs, empty, texts):
     assert total > 5000 and packing.pack(empty).count() == 0
 
 
+def test_packing_of_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  \n<|endoftext|>  y<|endoftext", "a<|endoftext|>b  ", "<|ENDOFTEXT|>", "plain", ""):
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode("a <|endoftext|> b")
+
+
 def test_differencing_is_near_equal():
     parts = packing.difference([8, 7, 6, 5, 4], 2)
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in p) for p in parts) == [14, 16]
