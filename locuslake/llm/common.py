@@ -67,6 +67,17 @@ def in_fold(column, modulus: int, remainder: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % modulus == remainder
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table doesn't have, whatever the case of its own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        n = f"_{name}"
+        while any(c.startswith(n) for c in taken):
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def let(value, body):
     """``body`` of a column expression that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

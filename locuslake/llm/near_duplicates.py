@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MASK64, Rolling, Scratch, WordHashes, mix, signed, table, text_bytes
+from .common import MASK64, Rolling, Scratch, WordHashes, fresh, mix, signed, table, text_bytes
 from .components import components
 
 SHINGLE = 5
@@ -106,7 +106,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-_SIGNED = "doc_id long, key binary, bands array<long>, bits binary"
+_SIGNED = "doc_id long, hash long, key binary, bands array<long>, bits binary"
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _SIGNED.split(", ")]
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+        for doc_id, text, row in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
             w = (text or b"").split()
             if not w or doc_id is None:
                 continue
@@ -125,9 +125,10 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     recent.clear()
                 signature = dart_signature(*shingles(words.of(w), rolling))
                 recent[key] = (signed(band_keys(signature)), (signature >> np.uint64(56)).astype(np.uint8).tobytes())
-            rows.append((doc_id, key, *recent[key]))
-        columns = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.binary())], names=names)
+            rows.append((doc_id, row, key, *recent[key]))
+        columns = list(zip(*rows)) if rows else [()] * 5
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
 def _estimated(least: float):
@@ -223,49 +224,84 @@ def _all_pairs(prefixes: DataFrame, labels: DataFrame, threshold: float, block:
     return a.join(b, ["unit", "block"]).where(F.expr("a < b AND class_a <> class_b") & _reachable(threshold)).select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, centres: int = 8) -> DataFrame:
-    """(doc_id, class_id, representative) for every row; the class is named by its least document id.
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of documents with their class; one without links is a class of its own."""
+    return rows.join(labels, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
 
-    Documents are linked where the weighted Jaccard similarity of their runs of five words is
-    ``threshold`` or more; classes are the components of links. Texts of the same words are one
-    text. Texts without words, null ones too, are linked to nothing. A row without id has no
-    class and is its own representative. Rows that share an id are one document, of the class
-    of any of its texts. An empty table gives no rows; other columns are not read.
-    """
+
+def _mixed(rows: DataFrame, centres: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(band, doc, class) of members, other than centres, of buckets that still hold several classes besides their centres."""
+    left = scratch.save(_named(rows.join(centres.withColumnRenamed("centre", "doc"), ["band", "doc"], "left_anti"), labels), f"{name}-all")
+    still = left.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
+    return scratch.save(left.join(still, "band", "left_semi"), name)
+
+
+def _met(rows: DataFrame, centres: DataFrame, labels: DataFrame | None, bits: DataFrame, content: DataFrame, scratch: Scratch, threshold: float, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """Links of members with centres of their buckets; the components, where no labels were known that spare pairs of one class."""
+    met = rows.join(centres, "band").where("doc <> centre")
+    if labels is not None:
+        met = met.join(labels.select(F.col("doc").alias("centre"), F.col("class").alias("centre_class")), "centre", "left").where("class <> coalesce(centre_class, centre)")
+    pairs = met.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
+    links = _links(pairs, bits, content, scratch, threshold, name)
+    return links, components(links, scratch, name) if labels is None else None
+
+
+def _of_texts(docs: DataFrame, id_col: str, text_col: str, threshold: float, centres: int) -> tuple[DataFrame, DataFrame, Scratch]:
+    """Rows with words and ids, (doc_id, hash of the text, key of its words), and the class of each key: the least id that its links reach."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    signed_rows = scratch.save(source.mapInArrow(_sign, _SIGNED), "signed")
-    texts = scratch.save(signed_rows.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "texts")
+    signed_rows = scratch.save(source.withColumn("hash", F.xxhash64("text")).mapInArrow(_sign, _SIGNED), "signed")
+    texts = scratch.save(signed_rows.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("bits").alias("bits")).withColumn("id", F.col("doc")), "texts")
+    # Where an id has several texts, all but one of them are named by a hash, so that each is one member.
+    repeated = texts.groupBy("doc").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1").select("doc", "least")
+    if not repeated.isEmpty():
+        told = texts.join(repeated, "doc", "left").withColumn("doc", F.when(F.col("key") != F.col("least"), F.xxhash64("doc", "key")).otherwise(F.col("doc")))
+        texts = scratch.save(told.select("key", "doc", "bands", "bits", "id"), "told")
     # Buckets with two texts or more.
     banded = texts.select("doc", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("band")
     open_rows = scratch.save(banded.join(shared, "band", "left_semi"), "open")
     near = scratch.save(open_rows.select("doc").distinct(), "near")
     bits = scratch.save(texts.join(near, "doc", "left_semi").select("doc", "bits"), "bits")
-    wanted = texts.join(near, "doc", "left_semi").select("doc", "key")
-    keyed = source.join(F.broadcast(near) if near.count() <= 10_000 else near, F.col("doc_id") == F.col("doc"), "left_semi")
-    content = scratch.save(keyed.mapInArrow(_keyed, "doc long, key binary, text string").join(wanted, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).select("doc", "text"), "content")
-    # Members of a bucket meet the least of each of its parts, which takes no more rows than members times parts.
+    ids = scratch.save(texts.join(near, "doc", "left_semi").select("doc", "key", "id"), "held")
+    keyed = source.join(ids.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
+    content = scratch.save(keyed.mapInArrow(_keyed, "id long, key binary, text string").join(ids, ["id", "key"]).dropDuplicates(["doc"]).select("doc", "text"), "content")
+    # All members of a bucket meet its least one. Where they are of several classes then, those of
+    # other classes meet the least of each part of it. Either step takes rows in proportion to members.
+    centre = open_rows.groupBy("band").agg(F.min("doc").alias("centre"))
+    links, labels = _met(open_rows, scratch.save(centre, "centre"), None, bits, content, scratch, threshold, "first")
+    left = _mixed(open_rows, centre, labels, scratch, "left")
     part = F.pmod(F.xxhash64("doc"), F.lit(centres))
-    chosen = scratch.save(open_rows.groupBy("band", part.alias("part")).agg(F.min("doc").alias("centre")).select("band", "centre"), "centres")
-    met = open_rows.join(chosen, "band").where("doc <> centre")
-    pairs = met.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
-    links = _links(pairs, bits, content, scratch, threshold, "centres")
-    labels = components(links, scratch, "first")
-    # A centre has met its whole bucket. Where the others are of more than one class, links between them are still to be found.
-    left = open_rows.join(chosen.withColumnRenamed("centre", "doc"), ["band", "doc"], "left_anti").join(labels, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
-    left = scratch.save(left, "left")
-    still = left.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
-    rest = scratch.save(left.join(still, "band", "left_semi").select("doc", "class").distinct(), "rest")
+    chosen = scratch.save(left.groupBy("band", part.alias("part")).agg(F.min("doc").alias("centre")).select("band", "centre"), "centres")
+    more, _ = _met(left, chosen, labels, bits, content, scratch, threshold, "second")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links, scratch, "second")
+    # A centre has met all of its bucket. Where the others are of more than one class, links between them are still to be found.
+    left = _mixed(left.select("band", "doc"), chosen, labels, scratch, "rest-left")
+    rest = scratch.save(left.select("doc", "class").distinct(), "rest")
     last = scratch.save(_all_pairs(_prefixes(rest, content, threshold, scratch), labels, threshold), "last-pairs")
     more = _exact_links(last, content, scratch, threshold, "last")
     if not more.isEmpty():
         labels = components(links.unionByName(more), scratch, "last")
-    of_text = texts.select("key", "doc")
-    of_text = of_text.join(labels, "doc", "left").select("key", F.coalesce("class", "doc").alias("class"))
-    by_doc = signed_rows.select("doc_id", "key").join(of_text, "key").groupBy("doc_id").agg(F.min("class").alias("class"))
-    out = source.select("doc_id").join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+    return signed_rows.select("doc_id", "hash", "key"), texts.select("key", "doc").join(labels, "doc", "left").select("key", F.coalesce("class", "doc").alias("class")), scratch
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, centres: int = 8) -> DataFrame:
+    """(doc_id, class_id, representative) for every row; the class is named by its least document id.
+
+    Documents are linked where the weighted Jaccard similarity of their runs of five words is
+    ``threshold`` or more; classes are the components of links. Texts of the same words are one
+    text. Texts without words, null ones too, are linked to nothing. A row without id has no
+    class and is its own representative. Rows that share an id are one document, of the least
+    class of its texts. An empty table gives no rows; other columns are not read.
+    """
+    rows, of_text, _ = _of_texts(docs, id_col, text_col, threshold, centres)
+    named = rows.join(of_text, "key").select("doc_id", "class")
+    least = named.groupBy("class").agg(F.min("doc_id").alias("least"))
+    by_doc = named.join(least, "class").groupBy("doc_id").agg(F.min("least").alias("class"))
+    out = docs.select(docs[id_col].cast("long").alias("doc_id")).join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
     return out.withColumn("representative", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
@@ -275,20 +311,26 @@ def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], names=["doc", "key", "text"])
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, centres: int = 8) -> DataFrame:
     """The rows, with all columns, of one document of each class: the one with the least id.
 
-    Rows without id or without words stay. Of rows that share an id, one stays where repeats
-    exist (any of them).
+    Rows without id or without words stay. Rows are told apart by id and text: where an id is
+    repeated with other texts, each text belongs to its own class, and of the texts of one id
+    in one class that with the least hash stays. Of rows with the same id and text one stays.
     """
-    found = classes(docs, id_col=id_col, text_col=text_col)
-    gone = found.where("NOT representative").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    counts = docs.where(docs[id_col].isNotNull()).agg(F.count("*").alias("n"), F.count_distinct(docs[id_col]).alias("ids")).first()
-    if counts.n == counts.ids:
-        return kept
-    nameless = kept.where(kept[id_col].isNull())
-    return kept.where(kept[id_col].isNotNull()).dropDuplicates([id_col]).unionByName(nameless)
+    rows, of_text, scratch = _of_texts(docs, id_col, text_col, threshold, centres)
+    named = scratch.save(rows.join(of_text, "key").select("class", "doc_id", "hash"), "members")
+    stays = named.groupBy("class").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    key, text = fresh(docs, "id", "hash")
+    gone = named.join(stays, "class").where("doc_id <> first.doc_id OR hash <> first.hash").select(F.col("doc_id").alias(f"{key}_"), F.col("hash").alias(f"{text}_")).distinct()
+    keyed = docs.withColumn(key, docs[id_col].cast("long")).withColumn(text, F.xxhash64(docs[text_col].cast("string")))
+    kept = keyed.join(gone, (F.col(key) == F.col(f"{key}_")) & (F.col(text) == F.col(f"{text}_")), "left_anti")
+    again = named.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(f"{key}_"), F.col("hash").alias(f"{text}_"))
+    if not again.isEmpty():
+        same = (F.col(key) == F.col(f"{key}_")) & (F.col(text) == F.col(f"{text}_"))
+        once = kept.join(again, same, "left_semi").dropDuplicates([key, text])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.drop(key, text)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
