@@ -10,6 +10,7 @@ all lines of that element, so that a short heading isn't lost beside long paragr
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -37,16 +38,53 @@ MARKS = frozenset(
     "share sharing social related recommended recommendations widget pagination pager search "
     "complementary contentinfo navigation alertdialog dialog hidden".split()
 )
-_SPLIT = re.compile(r"[^a-z0-9]+")
+#: Words that may stand beside a mark in a name ("related-posts", "ad_slot_2"); a name with any other word marks nothing.
+BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons card center col column container content desktop element float footer form frame group head header holder icons inner item items label large left "
+    "level line link links list main mobile module outer page panel placeholder post posts primary rail region right row section secondary site slot small sticky strip tab tabs text title top unit wrap wrapper zone".split()
+)
+_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_RAW = re.compile(r"<!--|<(script|style)(?=[\s/>])", re.I)
+_OPEN = re.compile(r"<[A-Za-z/!?]")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+def settled(html: str) -> str:
+    """The page without comments, contents of scripts and styles, and a tag that the page's end cuts off.
+
+    A comment, script or style that never ends reaches to the end of the page. After this no
+    construct is unfinished, so the parser looks at every part of the page once.
+    """
+    parts, at = [], 0
+    while m := _RAW.search(html, at):
+        parts.append(html[at : m.start()])
+        if m.group(1):
+            end = re.compile("</" + m.group(1) + r"(?=[\s/>])", re.I).search(html, m.end())
+            close = html.find(">", end.end()) if end else -1
+        else:
+            # A comment may also end at once: <!--> and <!--->.
+            close = m.end() + len(e.group()) - 1 if (e := re.compile("-?>").match(html, m.end())) else html.find("-->", m.end())
+            close += 2 * (close >= 0 and not e)
+        if close < 0:
+            return _uncut("".join(parts))
+        parts.append(" " if m.group(1) else "")
+        at = close + 1
+    return _uncut("".join(parts) + html[at:])
+
+
+def _uncut(html: str) -> str:
+    cut = _OPEN.search(html, html.rfind(">") + 1)
+    return html[: cut.start()] if cut else html
+
+
 def _marked(attrs: list) -> bool:
     for name, value in attrs:
         if name in ("class", "id", "role"):
-            if value and not MARKS.isdisjoint(_SPLIT.split(value.lower())):
-                return True
+            for one in (value or "").lower().split():
+                words = [w for w in _SPLIT.split(one) if w and not w.isdigit()]
+                if not MARKS.isdisjoint(words) and all(w in MARKS or w in BESIDE for w in words):
+                    return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDING.search(value):
             return True
     return False
@@ -63,6 +101,16 @@ class LineEvents(HTMLParser):
         self.tags, self.links = 0, 0
         self.lines: list[tuple[str, int, int, int]] = []
         self.anchor = 0
+        # Open elements by name: in all, and from the innermost container on; what isn't open needs no search.
+        self.open: Counter = Counter()
+        self.scopes: list[Counter] = [Counter()]
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # places in lines aren't asked for
+
+    def parse_html_declaration(self, i: int) -> int:
+        # What isn't a document type is a comment that ends at the first ">", marked sections too.
+        return super().parse_html_declaration(i) if self.rawdata[i : i + 9].lower() == "<!doctype" else self.parse_bogus_comment(i)
 
     def _line(self) -> None:
         if self.parts:
@@ -73,12 +121,19 @@ class LineEvents(HTMLParser):
             self.parts = []
 
     def _to(self, depth: int) -> None:
-        for name, _, _ in self.stack[depth:]:
+        for name, _, _ in reversed(self.stack[depth:]):
             self.anchor -= name == "a"
+            self.open[name] -= 1
+            if name in CONTAINERS:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][name] -= 1
         del self.stack[depth:]
         self.drop, self.article = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
 
     def _close(self, names: set) -> None:
+        if not any(self.scopes[-1][n] for n in names):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in names:
                 self._to(k)
@@ -108,6 +163,10 @@ class LineEvents(HTMLParser):
         self.drop = drop
         self.anchor += tag == "a"
         self.stack.append((tag, drop, self.article))
+        self.open[tag] += 1
+        if tag in CONTAINERS:
+            self.scopes.append(Counter())
+        self.scopes[-1][tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -116,12 +175,12 @@ class LineEvents(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self._line()
+        if not (self.open[tag] if tag in BLOCKS or tag in DROPPED else self.scopes[-1][tag]):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self._to(k)
                 return
-            if self.stack[k][0] in CONTAINERS and tag not in BLOCKS and tag not in DROPPED:
-                return
 
     def handle_data(self, data: str) -> None:
         if not self.drop:
@@ -162,7 +221,7 @@ def select(lines: list[tuple[str, int, int, int]], sigma: float, share: float) -
         for a, b in zip(at, at[1:]):  # a gap of two short lines, such as a heading, belongs to its region
             if b - a <= 3:
                 content[a:b] = True
-        content &= np.array([2 * links <= len(text) for text, _, links, _ in lines])
+        content &= np.array([5 * links <= 4 * len(text) for text, _, links, _ in lines])  # lines of links alone are menus
     return [line[0] for line, keep in zip(lines, content) if keep]
 
 
@@ -171,7 +230,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> tuple
     if not html:
         return "", 0, 0
     parser = LineEvents()
-    parser.feed(html)
+    parser.feed(settled(html))
     lines = parser.finish()
     kept = select(lines, sigma, share)
     return "\n".join(kept), len(lines), len(kept)
@@ -180,7 +239,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> tuple
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0, share: float = 0.5) -> DataFrame:
     """One row per page (schema ``SCHEMA``).
 
-    Null or empty html gives an empty text; null ids and urls stay null; repeated rows give
+    Null or empty html gives an empty text, malformed html what its finished parts hold; null ids and urls stay null; repeated rows give
     repeated results; an empty table gives no rows. Other columns are not read. Whole pages
     are parsed, one at a time, so memory follows the longest page.
     """
