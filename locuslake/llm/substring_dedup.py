@@ -21,17 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, Scratch, WordHashes, mix, signed, table, text_bytes
 
-SPANS = "anchor long, span long, doc_id long, row long, first int, windows int, at int"
+SPANS = "anchor long, span long, span2 long, doc_id long, row long, first int, windows int, at int"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: Stands for a null id: larger than any id, so such a row is never the earlier copy of one with an id.
 NO_ID = (1 << 63) - 1
 
 
 def anchors(hashes: np.ndarray, rolling: Rolling, target: int, half: int) -> tuple[np.ndarray, ...]:
-    """Groups of consecutive windows with one anchor: anchor hash, span hash, first window, windows, anchor's place."""
+    """Groups of consecutive windows with one anchor: anchor hash, two span hashes, first window, windows, anchor's place."""
     n = len(hashes) - target + 1
     if n <= 0:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 3
     prefix = rolling.prefix(hashes)
     runs = rolling.runs(prefix, slice(None), half)
     bits = np.uint64(max(24, int(len(runs)).bit_length()))
@@ -46,8 +46,15 @@ def anchors(hashes: np.ndarray, rolling: Rolling, target: int, half: int) -> tup
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     windows = np.diff(np.append(first, n))
     at = place[first]
-    span = mix(rolling.runs(prefix, first, windows + target - 1) + windows.astype(np.uint64) * np.uint64(1 << 20) + (at - first).astype(np.uint64))
-    return runs[at], span, first, windows, at
+    form = windows.astype(np.uint64) * np.uint64(1 << 20) + (at - first).astype(np.uint64)
+    span = mix(rolling.runs(prefix, first, windows + target - 1) + form)
+    span2 = mix(rolling.runs(rolling.prefix(second(hashes)), first, windows + target - 1) + form)
+    return runs[at], span, span2, first, windows, at
+
+
+def second(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of words: with the first ones, runs of words are told apart by 128 bits."""
+    return mix(hashes ^ np.uint64(0x6A09E667F3BCC909))
 
 
 def _span_rows(target: int, half: int):
@@ -59,10 +66,10 @@ def _span_rows(target: int, half: int):
             for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
                 if not text:
                     continue
-                a, s, first, windows, at = anchors(words.of(text.split()), rolling, target, half)
+                a, s, s2, first, windows, at = anchors(words.of(text.split()), rolling, target, half)
                 if len(a):
                     k = len(a)
-                    found.append((a, s, np.full(k, doc_id), np.full(k, row), first, windows, at))
+                    found.append((a, s, s2, np.full(k, doc_id), np.full(k, row), first, windows, at))
                     size += k
                 if size > 200_000:
                     yield _batch(found, names)
@@ -75,47 +82,50 @@ def _span_rows(target: int, half: int):
 
 def _batch(found: list, names: list[str]) -> pa.RecordBatch:
     columns = [np.concatenate(c) for c in zip(*found)]
-    return pa.RecordBatch.from_arrays([pa.array(signed(c), pa.int64()) for c in columns[:2]] + [pa.array(c, pa.int64()) for c in columns[2:4]] + [pa.array(c.astype(np.int32)) for c in columns[4:]], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(signed(c), pa.int64()) for c in columns[:3]] + [pa.array(c, pa.int64()) for c in columns[3:5]] + [pa.array(c.astype(np.int32)) for c in columns[5:]], names=names)
 
 
 def _extended(target: int, rows: DataFrame) -> DataFrame:
-    """Windows of the target length within candidate spans: (anchor, window, offset in span, first, doc_id, row)."""
+    """Windows of the target length within candidate spans: (window, window2, doc_id, row, first)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rolling = WordHashes(), Rolling()
         for batch in batches:
             for doc_id, row, text, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist()):
-                prefix = rolling.prefix(words.of(text.split()))
+                hashes = words.of(text.split())
+                prefix, prefix2 = rolling.prefix(hashes), rolling.prefix(second(hashes))
                 at = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["windows"]) for s in starts]))
-                h = rolling.runs(prefix, at, target)
+                h, h2 = rolling.runs(prefix, at, target), rolling.runs(prefix2, at, target)
                 for k in range(0, len(at), 200_000):
                     part = slice(k, k + 200_000)
                     m = len(at[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[part])), pa.array(np.full(m, doc_id)), pa.array(np.full(m, row)), pa.array(at[part].astype(np.int32))], names=["window", "doc_id", "row", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[part])), pa.array(signed(h2[part])), pa.array(np.full(m, doc_id)), pa.array(np.full(m, row)), pa.array(at[part].astype(np.int32))], names=["window", "window2", "doc_id", "row", "first"])
 
-    return rows.mapInArrow(run, "window long, doc_id long, row long, first int")
+    return rows.mapInArrow(run, "window long, window2 long, doc_id long, row long, first int")
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, target: int, half: int) -> DataFrame:
     """Runs of windows that also start in a document with a smaller id: (doc_id, row, first, windows)."""
     source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(docs[text_col]).alias("row"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
     spans = scratch.save(source.mapInArrow(_span_rows(target, half), SPANS), "spans")
-    # First level: anchors that repeat in two documents.
+    # First level: anchors that repeat in two documents. Aggregates are written before they are
+    # joined, so that rows of a hot anchor or window can be split among tasks.
     shared = spans.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    candidates = scratch.save(spans.join(shared, "anchor", "left_semi"), "candidates")
+    candidates = scratch.save(spans.join(scratch.save(shared, "shared"), "anchor", "left_semi"), "candidates")
     scratch.drop("spans")
     # Equal spans: all windows of the later ones are repeated; the document that has it first stands for the rest.
-    least = scratch.save(candidates.groupBy("anchor", "span").agg(F.min("doc_id").alias("low")), "least")
-    several = least.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1").select("anchor")
-    settled = candidates.join(least, ["anchor", "span"])
+    least = scratch.save(candidates.groupBy("anchor", "span", "span2").agg(F.min("doc_id").alias("low")), "least")
+    several = scratch.save(least.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1").select("anchor"), "several")
+    settled = scratch.save(candidates.join(least, ["anchor", "span", "span2"]).select("anchor", "doc_id", "row", "first", "windows", "low"), "settled")
+    scratch.drop("candidates")
     later = settled.where("doc_id > low").select("doc_id", "row", "first", "windows")
-    chosen = settled.where("doc_id = low").join(several, "anchor").select("doc_id", "row", "first", "windows")
+    chosen = settled.where("doc_id = low").join(several, "anchor", "left_semi").select("doc_id", "row", "first", "windows")
     # Second level: windows of the target length inside the spans that are left.
     by_doc = chosen.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "windows")).alias("starts"))
     rows = source.join(by_doc, ["doc_id", "row"]).select("doc_id", "row", "text", "starts").dropDuplicates(["doc_id", "row"])
     windows = scratch.save(_extended(target, rows), "windows")
-    low = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low")
-    alone = windows.join(low, "window").where("doc_id > low").select("doc_id", "row", "first", F.lit(1).alias("windows"))
+    low = windows.groupBy("window", "window2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "window2", "low")
+    alone = windows.join(scratch.save(low, "repeated"), ["window", "window2"]).where("doc_id > low").select("doc_id", "row", "first", F.lit(1).alias("windows"))
     return later.unionByName(alone)
 
 
@@ -156,7 +166,7 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark)
     runs = repeated_windows(docs, scratch, id_col=id_col, text_col=text_col, target=target, half=target // 2)
     by_doc = scratch.save(runs.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "windows")).alias("starts")), "removed")
-    for name in ("candidates", "least", "windows"):
+    for name in ("shared", "least", "several", "settled", "windows", "repeated"):
         scratch.drop(name)
     source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(docs[text_col]).alias("row"), docs[text_col].cast("string").alias("text"))
     return source.join(by_doc, ["doc_id", "row"], "left").select("doc_id", "text", "starts").mapInArrow(_digests(target, with_text), RESULT + ", kept_text string" * with_text)
