@@ -238,9 +238,11 @@ def _mixed(rows: DataFrame, centres: DataFrame, labels: DataFrame, scratch: Scra
 
 def _met(rows: DataFrame, centres: DataFrame, labels: DataFrame | None, bits: DataFrame, content: DataFrame, scratch: Scratch, threshold: float, name: str) -> tuple[DataFrame, DataFrame | None]:
     """Links of members with centres of their buckets; the components, where no labels were known that spare pairs of one class."""
-    met = rows.join(centres, "band").where("doc <> centre")
-    if labels is not None:
-        met = met.join(labels.select(F.col("doc").alias("centre"), F.col("class").alias("centre_class")), "centre", "left").where("class <> coalesce(centre_class, centre)")
+    if labels is None:
+        met = rows.join(centres, "band").where("doc <> centre")
+    else:
+        named = _named(centres.withColumnRenamed("centre", "doc"), labels).select(F.col("band").alias("of"), F.col("doc").alias("centre"), F.col("class").alias("centre_class"))
+        met = rows.join(scratch.save(named, f"{name}-named"), F.expr("band = of AND class <> centre_class"))
     pairs = met.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
     links = _links(pairs, bits, content, scratch, threshold, name)
     return links, components(links, scratch, name) if labels is None else None
