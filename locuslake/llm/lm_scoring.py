@@ -7,27 +7,31 @@ group. Frequent ids are classes of their own, others share classes by frequency,
 shares inside a class; groups are clusters of classes that follow the same classes. Texts are scored in overlapping context windows, each id once, in masked batches.
 Since ids that begin a word have classes of their own, the model also gives the probability
 that a word ends, so whole words have probabilities; these are mixed at a fixed rate with
-the word's smoothed share of the corpus. That share, as in the base score, counts all words
-unknown to the corpus as one type, and the spelling's probability under the network bounds
-that type's from below. A text's score is the sum over its words and its end.
-
-Counts cover the whole corpus. Documents are dealt to chunks of bounded size, and only the
-distinct words of each chunk travel to meet their counts. Class pairs are counted in all
-training documents and the network learns from all of them; each partition trains on its own
-part and the weights are averaged after every round.
+the word's smoothed share of the corpus. The share that is left for unknown words is dealt to
+their spellings by the network, so that the probabilities of all words after a context sum to
+one at most. (The base score gives that whole share to each unknown word.) A text's score is
+the sum over its words and its end.
+
+Counts cover the whole corpus. Documents are dealt to chunks of bounded size and become lists
+of word numbers; only the distinct words of each chunk travel, in buckets by hash, to meet
+their counts and subword ids, and come back once. All later passes read the written chunks
+without a shuffle: class pairs are counted in all training documents, and the network learns
+from each of them once, in rounds after which the partitions' weights are averaged.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import public_tokenizers
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,6 +201,25 @@ def windows(classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return inputs[at + np.arange(CONTEXT)], targets.reshape(blocks, STRIDE)
 
 
+def windows_of(classes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of several texts, one after the other, as ``windows`` gives them for each."""
+    before = CONTEXT - STRIDE
+    blocks = -(-lengths // STRIDE)
+    room = before + blocks * STRIDE
+    start, first = np.cumsum(room) - room, np.cumsum(lengths) - lengths
+    place = np.arange(len(classes)) + np.repeat(start - first, lengths)
+    targets = np.full(int(room.sum()), -1, np.int32)
+    targets[place + before] = classes
+    inputs = np.full(int(room.sum()) + 1, -1, np.int32)
+    inputs[place + before + 1] = classes
+    inputs[start + before] = n
+    last = start + before + lengths  # the input after a text's last class belongs to none of its windows' targets
+    inputs[last] = -1
+    inputs[start + before] = n
+    at = np.repeat(start, blocks) + (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STRIDE
+    return inputs[at[:, None] + np.arange(CONTEXT)], targets[at[:, None] + before + np.arange(STRIDE)]
+
+
 def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of values by row of a table."""
     order = np.argsort(rows, kind="stable")
@@ -273,9 +296,7 @@ class LanguageModel:
     def token_logs(self, ids: np.ndarray, lengths: np.ndarray, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Of the ids of several texts: log probability, and log probability that a word begins there."""
         c = self.classes.of[ids]
-        ends = np.cumsum(lengths)
-        pairs = [windows(c[a:b], self.n) for a, b in zip(ends - lengths, ends)]
-        inputs, targets = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+        inputs, targets = windows_of(c, lengths, self.n)
         logs, starts = np.empty(targets.size, np.float32), np.empty(targets.size, np.float32)
         n, none, width = self.n, np.int32(self.n + 1), self.groups.n
         keys = np.where(inputs >= 0, inputs, none)
@@ -314,194 +335,266 @@ def _flatten(index: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.nda
     return ids[offset + np.arange(total)]
 
 
-def _count_chunk(group: pa.Table) -> pa.Table:
-    """Distinct words of a chunk with their number in training documents."""
+_LEVEL = 1
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=_LEVEL).compress(np.ascontiguousarray(x).tobytes())
+
 
-    class Index(dict):
-        def __missing__(self, word: bytes) -> int:
-            self[word] = n = len(self)
-            return n
+def _unpack(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
-    index, seen = Index(), []
-    for train, text in zip(group.column("train").to_pylist(), text_bytes(group.column("text"))):
-        words = (text or b"").lower().split()
-        at = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
-        if train:
-            seen.append(at)
-    counts = np.bincount(np.concatenate(seen) if seen else np.zeros(0, np.int32), minlength=len(index))
-    chunk = group.column("chunk")[0].as_py()
-    return pa.table({"chunk": pa.array(np.full(len(index), chunk, np.int32)), "word": pa.array(list(index), pa.binary()), "n": pa.array(counts, pa.int64())})
 
+class Index(dict):
+    """Numbers words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+_DEALT = "chunk long, bucket int, docs binary, known_id binary, train binary, length binary, at binary, buckets binary, words binary, n binary"
+
+
+def _deal(chunk_bytes: int, buckets: int):
+    """Documents of a partition in chunks: one row with the documents as word numbers, and one for each bucket of the chunk's distinct words."""
+    from pyspark import TaskContext
 
-def _encoded(path: str):
-    """Words with their subword ids, as little-endian 16-bit integers."""
+    names = [x.split()[0] for x in _DEALT.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = subwords(path).of
+        chunk = TaskContext.get().partitionId() << 32
+        index, rows, size = Index(), [], 0
+
+        def full() -> pa.RecordBatch:
+            ids, train, found = zip(*rows)
+            counts = np.bincount(np.concatenate([f for f, t in zip(found, train) if t] or [np.zeros(0, np.int32)]), minlength=len(index))
+            words = list(index)
+            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets)
+            order = np.argsort(bucket, kind="stable")
+            used, first = np.unique(bucket[order], return_index=True)
+            docs = [chunk, -1, _pack(np.array([i or 0 for i in ids], np.int64)), _pack(np.array([i is not None for i in ids])), _pack(np.array(train)), _pack(np.array([len(f) for f in found], np.int64)), _pack(np.concatenate(found)), _pack(bucket), None, None]
+            parts = [docs]
+            for k, own in zip(used, np.split(order, first[1:])):
+                parts.append([chunk, int(k), *[None] * 6, zstandard.ZstdCompressor(level=_LEVEL).compress(b"\n".join([words[i] for i in own])), _pack(counts[own])])
+            types = [pa.int64(), pa.int32()] + [pa.binary()] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), types)], names=names)
+
         for batch in batches:
-            ids = [np.array(encode(w), "<u2").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["word", "c", "ids"])
+            for doc_id, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
+                words = (text or b"").lower().split()
+                rows.append((doc_id, train, np.fromiter(map(index.__getitem__, words), np.int32, len(words))))
+                size += len(text or b"") + 16
+                if size >= chunk_bytes:
+                    yield full()
+                    chunk, index, rows, size = chunk + 1, Index(), [], 0
+        if rows:
+            yield full()
 
     return run
 
 
-def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a column of encoded words, and the number of each word."""
-    ids = np.frombuffer(b"".join(column.to_pylist()), "<u2").astype(np.int64)
-    size = pc.binary_length(column).to_numpy().astype(np.int64) // 2
-    return ids, size
+_CODED = "chunk long, bucket int, c binary, size binary, ids binary"
 
 
-def _subword_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(END + 1, np.int64)
-    for batch in batches:
-        if batch.num_rows:
-            ids, size = _ragged(pa.chunked_array([batch.column(1)]))
-            total += np.bincount(ids, weights=np.repeat(batch.column(0).to_numpy(), size), minlength=END + 1).astype(np.int64)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
+def _code(path: str):
+    """For each chunk its words of a bucket with their counts in all training documents and subword ids; a last row (chunk -1) with sums."""
+
+    def run(group: pa.Table) -> pa.Table:
+        encode = subwords(path).of
+        unpacked = [zstandard.ZstdDecompressor().decompress(x).split(b"\n") for x in group.column("words").to_pylist()]
+        n = np.concatenate([_unpack(x, np.int64) for x in group.column("n").to_pylist()])
+        index = Index()
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(unpacked)), np.int64, len(n))
+        c = np.bincount(at, weights=n, minlength=len(index))
+        each = [encode(w) for w in index]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        ids = np.fromiter(chain.from_iterable(each), np.int64, int(size.sum()))
+        begin = np.cumsum(size) - size
+        rows, start = [], 0
+        bucket = group.column("bucket")[0].as_py()
+        for chunk, words in zip(group.column("chunk").to_pylist(), unpacked):
+            own = at[start : start + len(words)]
+            start += len(words)
+            rows.append((chunk, bucket, _pack(c[own].astype(np.float32)), _pack(size[own].astype(np.int32)), _pack(_flatten(own, begin, size, ids).astype(np.uint16))))
+        sums = np.bincount(ids, weights=np.repeat(c, size), minlength=END + 3)
+        sums[END + 1 :] = c.sum(), (c > 0).sum()
+        rows.append((-1, bucket, _pack(sums), None, None))
+        types = [pa.int64(), pa.int32()] + [pa.binary()] * 3
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _CODED.split(", ")])
+
+    return run
 
 
-def _texts(batches: Iterable[pa.RecordBatch], path: str, classes: Classes) -> Iterator[np.ndarray]:
-    encode = subwords(path).of
-    cache: dict[bytes, list[int]] = {}
+_CHUNK = "docs binary, known_id binary, train binary, length binary, at binary, c binary, size binary, ids binary"
+
+
+def _joined(docs: pa.Table, coded: pa.Table) -> pa.Table:
+    """A chunk's documents with the counts and ids of its words, by word number."""
+    names = [x.split()[0] for x in _CHUNK.split(", ")]
+    if not docs.num_rows:
+        return pa.table([pa.array([], pa.binary())] * len(names), names=names)
+    coded = coded.sort_by("bucket")
+    join = lambda name, kind: np.concatenate([_unpack(x, kind) for x in coded.column(name).to_pylist()] or [np.zeros(0, kind)])
+    order = np.argsort(_unpack(docs.column("buckets")[0].as_py(), np.uint32), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    c, size, ids = join("c", np.float32), join("size", np.int32).astype(np.int64), join("ids", np.uint16)
+    moved = _flatten(place, np.cumsum(size) - size, size, ids)
+    same = [docs.column(k)[0].as_py() for k in names[:5]]
+    return pa.table([pa.array([x], pa.binary()) for x in [*same, _pack(c[place]), _pack(size[place].astype(np.int32)), _pack(moved)]], names=names)
+
+
+class Chunk:
+    """A chunk read back: documents as word numbers, and per word its count, subword ids and their number; the last word is the end."""
+
+    def __init__(self, row: dict, ends: int):
+        get = lambda k, kind: _unpack(row[k], kind)
+        self.doc_ids, self.known_id, self.train, length = get("docs", np.int64), get("known_id", bool), get("train", bool), get("length", np.int64)
+        at = get("at", np.int32)
+        self.c = np.append(get("c", np.float32).astype(np.float64), ends)
+        self.size = np.append(get("size", np.int32).astype(np.int64), 1)
+        self.ids = np.append(get("ids", np.uint16).astype(np.int64), END)
+        self.begin = np.cumsum(self.size) - self.size
+        self.end = len(self.c) - 1
+        self.at = np.insert(at, np.cumsum(length), self.end)  # each document with its end
+        self.length = length + 1
+        self.first = np.cumsum(self.length) - self.length
+
+    def words(self, documents: np.ndarray) -> np.ndarray:
+        """Word numbers of documents, one after the other."""
+        return _flatten(documents, self.first, self.length, self.at)
+
+    def tokens(self, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers, subword ids, and number of ids by document."""
+        at = self.words(documents)
+        n = np.add.reduceat(self.size[at], np.cumsum(self.length[documents]) - self.length[documents])
+        return at, _flatten(at, self.begin, self.size, self.ids), n
+
+    def batches(self, documents: np.ndarray, tokens: int) -> Iterator[np.ndarray]:
+        """Documents in runs of about so many tokens."""
+        each = np.add.reduceat(self.size[self.at], self.first)[documents]
+        cut = np.flatnonzero(np.diff(np.cumsum(each) // tokens)) + 1
+        yield from (x for x in np.split(documents, cut) if len(x))
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], ends: int) -> Iterator[Chunk]:
     for batch in batches:
-        for text in text_bytes(batch.column(0)):
-            ids: list[int] = []
-            for w in (text or b"").lower().split():
-                if (f := cache.get(w)) is None:
-                    if len(cache) > 500_000:
-                        cache.clear()
-                    f = cache[w] = encode(w)
-                ids += f
-            ids.append(END)
-            yield classes.of[ids]
+        for i in range(batch.num_rows):
+            yield Chunk({k: batch.column(k)[i].as_py() for k in batch.schema.names}, ends)
 
 
 def _tree_sum(rows: DataFrame) -> np.ndarray:
-    """Sum of one array per partition: first of groups of partitions on executors, then of the groups."""
+    """Sum of packed arrays: first of groups of rows on executors, then of the groups."""
     groups = max(1, math.isqrt(rows.rdd.getNumPartitions()))
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float64) for x in group.column("data").to_pylist())
-        return pa.table({"data": pa.array([total.tobytes()], pa.binary())})
+        total = sum(_unpack(x, np.float64) for x in group.column("data").to_pylist())
+        return pa.table({"data": pa.array([_pack(total)], pa.binary())})
 
     parts = rows.withColumn("group", F.pmod("part", F.lit(groups))).groupBy("group").applyInArrow(add, "data binary").collect()
-    return sum(np.frombuffer(r.data, np.float64) for r in parts)
+    return sum(_unpack(r.data, np.float64) for r in parts)
+
 
+def train(chunks: DataFrame, classes: Classes, ends: int, *, rounds: int = 3, batch: int = 256, tokens: int = 60_000) -> LanguageModel:
+    """Counts class pairs in all training documents, then learns from each of them once.
 
-def train(paired: DataFrame, sample: DataFrame, classes: Classes, path: str, *, rounds: int = 2, batch: int = 64) -> LanguageModel:
-    """Counts class pairs in the texts of ``paired``, then averages the weights that partitions of ``sample`` reach in each round."""
+    Each partition trains on its own documents, a ``rounds``-th of them in every round, and the
+    weights that partitions reach are averaged, by tokens, after each round.
+    """
     from pyspark import TaskContext
 
-    spark = sample.sparkSession
+    spark = chunks.sparkSession
     n = classes.n
     shared = spark.sparkContext.broadcast(classes)
 
     def row(data: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["part", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([_pack(data)], pa.binary())], names=["part", "data"])
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((n + 1) * n)
-        for c in _texts(batches, path, shared.value):
-            found += np.bincount(np.concatenate([[n], c[:-1]]) * n + c, minlength=len(found))
+        for chunk in _chunks(batches, ends):
+            for documents in chunk.batches(np.flatnonzero(chunk.train), tokens * 16):
+                _, ids, length = chunk.tokens(documents)
+                c = shared.value.of[ids]
+                before = np.concatenate([[n], c[:-1]])
+                before[np.cumsum(length) - length] = n
+                found += np.bincount(before.astype(np.int64) * n + c, minlength=len(found))
         yield row(found)
 
-    counts = _tree_sum(paired.mapInArrow(pairs, "part int, data binary")).reshape(n + 1, n)
+    counts = _tree_sum(chunks.mapInArrow(pairs, "part int, data binary")).reshape(n + 1, n)
     groups = Groups.by_context(counts, classes.beginning)
     model = Attention.initial(counts, groups)
-    for _ in range(rounds):
-        start = spark.sparkContext.broadcast(model)
-
-        def learn(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            base = start.value
-            trainer, seen = Trainer(base.like(base.flat()), groups), 0
-            inputs, targets = [], []
-            for c in _texts(batches, path, shared.value):
-                x, t = windows(c, n)
-                inputs.append(x)
-                targets.append(t)
-                if sum(map(len, inputs)) >= batch:
-                    x, t = np.concatenate(inputs), np.concatenate(targets)
-                    while len(x) >= batch:
-                        trainer.batch(x[:batch], t[:batch])
-                        seen += int((t[:batch] >= 0).sum())
-                        x, t = x[batch:], t[batch:]
-                    inputs, targets = [x], [t]
-            if inputs and len(x := np.concatenate(inputs)):
-                t = np.concatenate(targets)
+    for k in range(rounds):
+        start = spark.sparkContext.broadcast((model, groups))
+
+        def learn(batches: Iterable[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
+            base, own = start.value
+            trainer, seen = Trainer(base.like(base.flat()), own), 0
+            x, t = np.zeros((0, CONTEXT), np.int32), np.zeros((0, STRIDE), np.int32)
+            for chunk in _chunks(batches, ends):
+                mine = np.flatnonzero(chunk.train)
+                for documents in chunk.batches(mine[mine % rounds == k], tokens):
+                    _, ids, length = chunk.tokens(documents)
+                    more = windows_of(shared.value.of[ids], length, n)
+                    x, t = np.concatenate([x, more[0]]), np.concatenate([t, more[1]])
+                    whole = len(x) // batch * batch
+                    for at in range(0, whole, batch):
+                        trainer.batch(x[at : at + batch], t[at : at + batch])
+                    seen += int((t[:whole] >= 0).sum())
+                    x, t = x[whole:], t[whole:]
+            if len(x):
                 trainer.batch(x, t)
                 seen += int((t >= 0).sum())
             yield row(np.append(trainer.model.flat().astype(np.float64) * seen, seen))
 
-        total = _tree_sum(sample.mapInArrow(learn, "part int, data binary"))
+        total = _tree_sum(chunks.mapInArrow(learn, "part int, data binary"))
         if total[-1]:
             model = model.like(total[:-1] / total[-1])
     return LanguageModel(classes, groups, model)
 
 
-def _score_chunk(lm, train_docs: int, total: int, distinct: int, mix: float):
+def _score(lm, ends: int, total: int, distinct: int, mix: float, tokens: int = 30_000):
     log_total = math.log10(total + 1 * (distinct + 1))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lm.value
-        vocabulary = words.column("word").to_pylist()
-        index = {w: i for i, w in enumerate(vocabulary)}
-        ids, size = _ragged(words.column("ids"))
-        ids, size = np.append(ids, END), np.append(size, 1)
-        begin = np.cumsum(size) - size
-        count = np.append(words.column("c").to_numpy().astype(np.float64), train_docs)
-        base = np.log10(count + 1) - log_total
-        share = 10**base
-        end = len(vocabulary)
-        rows, waiting, waiting_ids = [], [], 0
-
-        def flush() -> None:
-            if not waiting:
-                return
-            flat = [_flatten(x[1], begin, size, ids) for x in waiting]
-            lengths = np.array([len(f) for f in flat])
-            logs, starts = model.token_logs(np.concatenate(flat), lengths)
-            at = 0
-            for (head, index_, _), n in zip(waiting, lengths):
-                sizes = size[index_]
-                first = at + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                log_q = np.add.reduceat(logs[at : at + n], first - at) - starts[first] + np.append(starts[first[1:]], 0.0)
-                p = mix * np.exp(np.minimum(log_q, 0)) + (1 - mix) * share[index_]
-                rows.append((*head, float(np.log10(p + 1e-300).sum())))
-                at += n
-            waiting.clear()
-
-        for doc_id, train, text in zip(docs.column("doc_id").to_pylist(), docs.column("train").to_pylist(), text_bytes(docs.column("text"))):
-            w = (text or b"").lower().split()
-            at = np.fromiter(map(index.__getitem__, w), np.int64, len(w))
-            at = np.append(at, end)
-            waiting.append(((doc_id, not train, len(at), int((count[at] > 0).sum()), total, float(base[at].sum())), at, None))
-            waiting_ids += int(size[at].sum())
-            if waiting_ids > 30_000:
-                flush()
-                waiting_ids = 0
-        flush()
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({k: pa.array(v, t) for k, v, t in zip(names, zip(*rows), types)})
+        for chunk in _chunks(batches, ends):
+            base = np.log10(chunk.c + 1) - log_total
+            known = chunk.c > 0
+            # The share of all unknown words together is dealt to spellings by their probability under the network.
+            fixed, spelled = np.where(known, (1 - mix) * 10**base, 0.0), np.where(known, mix, mix + (1 - mix) * 10.0**-log_total)
+            for documents in chunk.batches(np.arange(len(chunk.doc_ids)), tokens):
+                at, ids, n = chunk.tokens(documents)
+                logs, starts = model.token_logs(ids, n)
+                size = chunk.size[at]
+                first = np.cumsum(size) - size
+                # A word ends where the next one may begin; after a document's end nothing follows.
+                doc_first = np.cumsum(chunk.length[documents]) - chunk.length[documents]
+                ended = np.append(starts[first[1:]], 0.0)
+                ended[np.append(doc_first[1:], len(first)) - 1] = 0.0
+                log_q = np.add.reduceat(logs.astype(np.float64), first) - starts[first] + ended
+                p = spelled[at] * np.exp(np.minimum(log_q, 0)) + fixed[at]
+                sums = lambda v: np.add.reduceat(v, doc_first)
+                ids_ = pa.array(chunk.doc_ids[documents], pa.int64(), mask=~chunk.known_id[documents])
+                columns = [ids_, ~chunk.train[documents], chunk.length[documents], sums(known[at].astype(np.int64)), np.full(len(documents), total, np.int64), sums(base[at]), sums(np.log10(p + 1e-300))]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
     return run
 
 
 def score(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, vocabulary: str | None = None,
-    chunk_bytes: int = 24 << 20, pairs_every: int = 1, sample_every: int = 1, mix: float = 0.5,
+    chunk_bytes: int = 16 << 20, rounds: int = 3, mix: float = 0.7,
 ) -> DataFrame:
     """One row per document (schema ``SCHEMA``).
 
     A null or empty text is its end token alone. Null ids stay null and belong to the fold of
     the empty id. Repeated rows are counted and scored as often as they come. With no training
     documents all counts are 0. An empty table gives no rows; other columns are not read.
-    Class pairs are counted in all training documents, and the network learns from all of them,
-    unless ``pairs_every`` or ``sample_every`` asks for every n-th by hash.
+    Words, class pairs and the network come from all training documents.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     spark = docs.sparkSession
@@ -509,24 +602,24 @@ def score(
     ids = docs[id_col].cast("long")
     source = docs.select(ids.alias("doc_id"), (~in_fold(ids, modulus, held_out)).alias("train"), docs[text_col].cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows"), F.count_if("train").alias("train")).first()
-    chunks = max(1, -(-((size.bytes or 0) + 16 * size.rows) // chunk_bytes))
-    dealt = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    words = scratch.save(dealt.groupBy("chunk").applyInArrow(_count_chunk, "chunk int, word binary, n long"), "words")
-    counts = scratch.save(words.groupBy("word").agg(F.sum("n").alias("c")).mapInArrow(_encoded(path), "word binary, c long, ids binary"), "counts")
-    known = counts.where("c > 0")
-    sums = known.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = (sums.n or 0) + size.train, sums.v + (size.train > 0)
-    by_id = known.select("c", "ids").mapInArrow(_subword_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # ids are bounded by the vocabulary
-    id_counts = np.zeros(END + 1)
-    for r in by_id:
-        id_counts[r.id] = r.n
+    if not size.rows:
+        return spark.createDataFrame([], SCHEMA)
+    buckets = max(1, -(-((size.bytes or 0) + 16 * size.rows) // chunk_bytes))
+    dealt = scratch.save(source.mapInArrow(_deal(chunk_bytes, buckets), _DEALT), "dealt")
+    words = dealt.where("bucket >= 0").select("chunk", "bucket", "words", "n")
+    coded = scratch.save(words.groupBy("bucket").applyInArrow(_code(path), _CODED), "coded")
+    found = coded.where("chunk < 0")
+    sums = _tree_sum(found.select(F.col("bucket").alias("part"), F.col("c").alias("data"))) if not found.isEmpty() else np.zeros(END + 3)
+    total, distinct = int(sums[END + 1]) + size.train, int(sums[END + 2]) + (size.train > 0)
+    id_counts = sums[: END + 1].copy()
     id_counts[END] = size.train
     classes = Classes.by_frequency(id_counts, subwords(path).begins)
-    of_every = lambda n: source.where("train").where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(n)) == 0).select("text")
-    lm = spark.sparkContext.broadcast(train(of_every(pairs_every), of_every(sample_every), classes, path))
-    wanted = words.select("chunk", "word").join(counts, "word")
-    run = _score_chunk(lm, size.train, total, distinct, mix)
-    return dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(run, SCHEMA)
+    of_chunk = dealt.where("bucket < 0").drop("bucket", "words", "n").groupBy("chunk").cogroup(coded.where("chunk >= 0").groupBy("chunk"))
+    chunks = scratch.save(of_chunk.applyInArrow(_joined, _CHUNK), "chunks")
+    scratch.drop("dealt")
+    scratch.drop("coded")
+    lm = spark.sparkContext.broadcast(train(chunks, classes, size.train, rounds=rounds))
+    return chunks.mapInArrow(_score(lm, size.train, total, distinct, mix), SCHEMA)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

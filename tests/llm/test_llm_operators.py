@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -216,23 +217,77 @@ def test_toxicity_reads_all_of_long_words_and_runs(spark):
 
 
 def test_language_model(spark, docs, empty, texts):
-    rows = lm_scoring.score(docs.where("text IS NULL OR length(text) < 2000"), sample_every=1, pairs_every=1).collect()
+    rows = lm_scoring.score(docs, chunk_bytes=4000).collect()
     assert all(np.isfinite(r.score) and r.score < 0 for r in rows) and {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
+    assert len(rows) == 12 and sum(r.doc_id is None for r in rows) == 1
     assert lm_scoring.score(empty).count() == 0
 
 
-def test_language_model_learns_from_all_training_documents(spark, monkeypatch):
-    class Seen(Exception):
-        pass
+def test_base_score_and_counts_against_brute_force(spark, docs, texts):
+    every = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
+    words = lambda t: (t or "").lower().split() + ["\n"]
+    c = Counter(w for i, t in every if not held(i) for w in words(t))
+    N, V = sum(c.values()), len(c)
+    expected = Counter((i, held(i), len(words(t)), sum(c[w] > 0 for w in words(t)), N, round(sum(np.log10((c[w] + 1) / (N + V + 1)) for w in words(t)), 6)) for i, t in every)
+    for size in (500, 1 << 20):
+        got = lm_scoring.score(docs, chunk_bytes=size, rounds=1).collect()
+        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected
 
-    def train(paired, sample, *_):
-        raise Seen(sorted(r.text for r in paired.collect()), sorted(r.text for r in sample.collect()))
+
+def test_language_model_learns_from_all_training_documents_once(spark, monkeypatch):
+    seen = []
+
+    def train(chunks, classes, ends, *, rounds):
+        for row in chunks.collect():
+            chunk = lm_scoring.Chunk(row.asDict(), ends)
+            mine = np.flatnonzero(chunk.train)
+            for k in range(rounds):
+                for documents in chunk.batches(mine[mine % rounds == k], 10):
+                    seen.extend(chunk.doc_ids[documents].tolist())
+        raise StopIteration
 
     monkeypatch.setattr(lm_scoring, "train", train)
-    with pytest.raises(Seen) as found:
+    with pytest.raises(StopIteration):
         lm_scoring.score(spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string"))
-    expected = sorted(f"text {i}" for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2)
-    assert found.value.args == (expected, expected)
+    assert sorted(seen) == [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+
+
+def test_word_probabilities_sum_to_one_at_most():
+    """All words of up to two ids after a context, known and unknown ones, by the same sums that score texts."""
+    rng = np.random.default_rng(2)
+    n, ids = 12, 40
+    begins = np.arange(ids) < 20
+    padded = np.zeros(lm_scoring.END + 1, bool)
+    padded[:ids], padded[lm_scoring.END] = begins, True
+    counts = np.zeros(lm_scoring.END + 1)
+    counts[:ids] = rng.integers(1, 50, ids)
+    counts[lm_scoring.END] = 5
+    classes = lm_scoring.Classes.by_frequency(counts, padded, n=n, shared=6)
+    groups = lm_scoring.Groups.by_context(rng.integers(0, 30, (classes.n + 1, classes.n)).astype(float), classes.beginning, each=3)
+    model = lm_scoring.Attention.initial(rng.integers(0, 30, (classes.n + 1, classes.n)).astype(float), groups)
+    lm = lm_scoring.LanguageModel(classes, groups, model)
+    total = 0.0
+    for first in np.flatnonzero(padded):
+        alone, starts = lm.token_logs(np.array([3, 25, first, lm_scoring.END]), np.array([4]))
+        if first == lm_scoring.END:
+            total += np.exp(alone[2] - starts[2])
+            continue
+        total += np.exp(alone[2] - starts[2] + starts[3])
+        for second in np.flatnonzero(~padded[:ids]):
+            logs, starts = lm.token_logs(np.array([3, 25, first, second, lm_scoring.END]), np.array([5]))
+            total += np.exp(logs[2] + logs[3] - starts[2] + starts[4])
+    assert 0.3 < total <= 1 + 1e-5
+
+
+def test_windows_of_several_texts():
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 60, 9)
+    c = rng.integers(0, 90, lengths.sum()).astype(np.int32)
+    ends = np.cumsum(lengths)
+    each = [lm_scoring.windows(c[a:b], 99) for a, b in zip(ends - lengths, ends)]
+    got = lm_scoring.windows_of(c, lengths, 99)
+    assert all((got[k] == np.concatenate([e[k] for e in each])).all() for k in (0, 1))
 
 
 def test_windows_score_each_token_once():
