@@ -13,7 +13,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, modulus: in
 
     The sample is the rows of least hash of the id, so it doesn't depend on order. As it is
     bounded, its ids are broadcast and texts of other documents aren't shuffled. Null and
-    contradicting labels are left out.
+    contradicting labels are left out; of texts that share an id the least counts.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~in_fold(F.col("doc_id"), modulus, held_out))
@@ -25,4 +25,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, modulus: in
         .select("_id", "label")
     )
     source = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("text"))
-    return source.join(F.broadcast(ids), "_id").dropDuplicates(["_id"]).select(F.col("_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "label")
+    own = source.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return own.select(F.col("_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "label")
