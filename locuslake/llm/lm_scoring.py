@@ -221,60 +221,80 @@ def windows_of(classes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.nda
 
 
 def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by row of a table."""
+    """Sums of values by row of a table. Rows are 16-bit numbers, which sort by radix."""
     order = np.argsort(rows, kind="stable")
-    used, start = np.unique(rows[order], return_index=True)
+    in_order = rows.take(order)
+    start = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
     out = np.zeros((n, values.shape[1]), np.float32)
-    out[used] = np.add.reduceat(values[order], start, 0)
+    out[in_order[start]] = np.add.reduceat(values.take(order, 0), start, 0)
     return out
 
 
 class Trainer:
-    """Adam on the cross entropy of groups."""
+    """Adam on the cross entropy of groups. Direct logits are counts of all training documents and stay; attention learns what they miss."""
 
     def __init__(self, model: Attention, groups: Groups, rate: float = 0.004):
         self.model, self.groups, self.rate, self.step = model, groups, rate, 0
-        self.first = [np.zeros_like(a) for a in model.arrays()]
-        self.second = [np.zeros_like(a) for a in model.arrays()]
+        self.first = [np.zeros_like(a) for a in model.arrays()[1:]]
+        self.second = [np.zeros_like(a) for a in model.arrays()[1:]]
 
     def batch(self, inputs: np.ndarray, targets: np.ndarray) -> float:
+        """One step on a batch of windows; its mean loss a token. Logits stay far below where exponentials overflow, so no maximum is taken."""
         m = self.model
-        n = len(m.direct) - 1
-        mask = (inputs >= 0)[:, None, :] & _CAUSAL
-        keys = np.where(inputs >= 0, inputs, n)
-        current = keys[:, CONTEXT - STRIDE :]
-        q, k, v = m.query[current], m.key[keys], m.value[keys]
-        s = q @ k.transpose(0, 2, 1) + m.bias[_REL]
-        s = np.where(mask, s, np.float32(-1e9))
-        a = np.exp(s - s.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
+        n, width, b = len(m.direct) - 1, m.key.shape[1], len(inputs)
+        keys = np.where(inputs >= 0, inputs, n).astype(np.uint16)
+        cur, all_keys = keys[:, CONTEXT - STRIDE :].ravel(), keys.ravel()
+        q, k, v = (x.take(at, 0).reshape(b, -1, width) for x, at in ((m.query, cur), (m.key, all_keys), (m.value, all_keys)))
+        a = q @ k.transpose(0, 2, 1)
+        a += m.bias[_REL]
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        a *= _CAUSAL.astype(np.float32)
+        if (inputs < 0).any():
+            a *= (inputs >= 0).astype(np.float32)[:, None, :]
+        a /= (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32) + np.float32(1e-30)).reshape(b, STRIDE, 1)
         o = a @ v
-        flat_o, cur, t = o.reshape(-1, o.shape[-1]), current.ravel(), np.where(targets >= 0, self.groups.of[targets], -1).ravel()
-        logits = m.direct[cur] + flat_o @ m.out
-        p = np.exp(logits - logits.max(-1, keepdims=True))
-        p /= p.sum(-1, keepdims=True)
-        live = t >= 0
-        rows = np.arange(len(t))
-        loss = -np.log(p[rows, np.maximum(t, 0)] + 1e-30)[live].sum()
-        p[rows, np.maximum(t, 0)] -= 1
+        flat_o = o.reshape(-1, width)
+        p = flat_o @ m.out
+        p += m.direct.take(cur, 0)
+        np.minimum(p, 60, out=p)
+        np.exp(p, out=p)
+        p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
+        at_target = np.arange(targets.size) * p.shape[1] + self.groups.of.take(np.maximum(targets, 0)).ravel()
+        live = targets.ravel() >= 0
+        flat_p = p.reshape(-1)
+        hit = flat_p.take(at_target)
+        loss = -float(np.log(hit[live] + 1e-30).mean()) if live.any() else 0.0
+        flat_p[at_target] = hit - 1
         p *= (live / max(1, live.sum())).astype(np.float32)[:, None]
         g_out = flat_o.T @ p
         g_o = (p @ m.out.T).reshape(o.shape)
-        g_a = g_o @ v.transpose(0, 2, 1)
-        g_v = a.transpose(0, 2, 1) @ g_o
-        g_s = a * (g_a - (g_a * a).sum(-1, keepdims=True))
+        g_s = g_o @ v.transpose(0, 2, 1)
+        g_s -= np.einsum("ijk,ijk->ij", g_s, a)[:, :, None]
+        g_s *= a
+        both = np.empty((b, CONTEXT, 2 * width), np.float32)
+        both[:, :, :width] = g_s.transpose(0, 2, 1) @ q
+        both[:, :, width:] = a.transpose(0, 2, 1) @ g_o
         g_bias = np.bincount(_REL.ravel(), weights=(g_s.sum(0) * _CAUSAL).ravel(), minlength=CONTEXT).astype(np.float32)
-        g_q, g_k = g_s @ k, g_s.transpose(0, 2, 1) @ q
-        w = o.shape[-1]
-        all_keys = keys.ravel()
-        both = _by_row(all_keys, np.concatenate([g_k.reshape(-1, w), g_v.reshape(-1, w)], 1), n + 1)
-        grads = [_by_row(cur, p, n + 1), _by_row(cur, g_q.reshape(-1, w), n + 1), both[:, :w], both[:, w:], g_bias, g_out]
+        by_key = _by_row(all_keys, both.reshape(-1, 2 * width), n + 1)
+        self._adam([_by_row(cur, (g_s @ k).reshape(-1, width), n + 1), by_key[:, :width], by_key[:, width:], g_bias, g_out])
+        return loss
+
+    def _adam(self, grads: list[np.ndarray]) -> None:
         self.step += 1
-        for x, g, f1, f2 in zip(m.arrays(), grads, self.first, self.second):
-            f1 += 0.1 * (g - f1)
-            f2 += 0.02 * (g * g - f2)
-            x -= self.rate * (f1 / (1 - 0.9**self.step)) / (np.sqrt(f2 / (1 - 0.98**self.step)) + 1e-8)
-        return float(loss)
+        scale = np.float32(self.rate / (1 - 0.9**self.step))
+        spread = np.float32(1 / (1 - 0.98**self.step))
+        for x, g, f1, f2 in zip(self.model.arrays()[1:], grads, self.first, self.second):
+            f1 *= np.float32(0.9)
+            f1 += np.float32(0.1) * g
+            f2 *= np.float32(0.98)
+            f2 += np.float32(0.02) * (g * g)
+            d = f2 * spread
+            np.sqrt(d, out=d)
+            d += np.float32(1e-8)
+            np.divide(f1, d, out=d)
+            d *= scale
+            x -= d
 
 
 class LanguageModel:
