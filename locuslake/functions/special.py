@@ -4,17 +4,36 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 
+_NORMAL = NormalDist()
+_ERFC = np.frompyfunc(math.erfc, 1, 1)
+
 
 def logsumexp(x: np.ndarray) -> float:
     top = float(np.max(x))
     return top if not math.isfinite(top) else top + math.log(float(np.exp(x - top).sum()))
 
 
-def normal_cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.vectorize(math.erfc, otypes=[float])(-np.asarray(x, float) / math.sqrt(2))
+def normal_cdf(x) -> np.ndarray:
+    return 0.5 * np.asarray(_ERFC(-np.asarray(x, float) / math.sqrt(2)), float)
+
+
+def normal_quantile(p: float) -> float:
+    return _NORMAL.inv_cdf(p)
+
+
+def log10_p_value(z) -> np.ndarray:
+    """-log10 of the two-sided p value of a z score; by the asymptotic series of the tail where erfc would lose digits."""
+    z = np.abs(np.asarray(z, float))
+    with np.errstate(divide="ignore"):
+        near = -np.log10(np.asarray(_ERFC(np.minimum(z, 35.0) / math.sqrt(2)), float))
+    s = 1 / np.maximum(z, 1.0) ** 2
+    tail = np.where(z < 35, 1.0, 1 - s * (1 - 3 * s * (1 - 5 * s)))
+    far = (z * z / 2 + 0.5 * math.log(math.pi / 2) + np.log(np.maximum(z, 1.0)) - np.log(tail)) / math.log(10)
+    return np.where(z < 35, near, far)
 
 
 def digamma(x: float) -> float:
@@ -27,9 +46,9 @@ def digamma(x: float) -> float:
     return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
 
 
-def minimise(f: Callable[[float], float], low: float, high: float, tol: float = 1e-8, steps: int = 200) -> float:
+def minimise(f: Callable[[float], float], low: float, high: float, tol: float = 1e-8, steps: int = 200, cells: int = 32) -> float:
     """Golden sections of the bracket round the best of a coarse grid, so that one local minimum doesn't hide a deeper one."""
-    grid = np.linspace(low, high, 33)
+    grid = np.linspace(low, high, cells + 1)
     k = int(np.argmin([f(float(x)) for x in grid]))
     a, b = float(grid[max(0, k - 1)]), float(grid[min(len(grid) - 1, k + 1)])
     g = (math.sqrt(5) - 1) / 2

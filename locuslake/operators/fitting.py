@@ -1,61 +1,198 @@
-"""Fits of many regions at once: DataFrames in, one row per effect and variable out."""
+"""Fits of many regions at once: DataFrames in, one nested row per region and setting out.
+
+Each region is solved in one grouped task, which reads its matrix once for all settings, so
+memory follows the largest region. Regions that can't be fitted get a row that says why;
+they don't stop the others. Write the fits once (``sources.store``) before several queries
+read them.
+"""
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.solver import FitSpec, fit_rss, fit_suff_stat
+from ..functions.ld import fit_rss_ridge
+from ..functions.solver import Fit, FitSpec, fit_auto, fit_individual, fit_rss, fit_suff_stat, fit_trend
+
+_EFFECT = "component_id int, V double, lbf double, kl double, slot_weight double, rv double, alpha array<double>, mu array<double>, mu2 array<double>, lbf_variable array<double>"
+_SWEEP = "sweep int, elbo double, delta_elbo double, delta_alpha double, delta_pip double, sigma2 double, cycle_lag int, V array<double>, top array<int>, top_alpha array<double>, entropy array<double>, events array<string>"
+FITS = (
+    "region_id string, setting string, status string, error string, n_variants int, sigma2 double, niter int, converged boolean, stop_reason string, criterion string, elbo array<double>, "
+    f"null_index int, intercept double, scales array<double>, prior array<double>, warnings array<string>, refinement string, components array<struct<{_EFFECT.replace(' ', ':').replace(',:', ', ')}>>, trace array<struct<{_SWEEP.replace(' ', ':').replace(',:', ', ')}>>"
+)
+Settings = dict[str, FitSpec]
+
+
+def _effect_type() -> pa.DataType:
+    doubles = pa.list_(pa.float64())
+    return pa.struct([("component_id", pa.int32()), ("V", pa.float64()), ("lbf", pa.float64()), ("kl", pa.float64()), ("slot_weight", pa.float64()), ("rv", pa.float64()), ("alpha", doubles), ("mu", doubles), ("mu2", doubles), ("lbf_variable", doubles)])
+
+
+def _sweep_type() -> pa.DataType:
+    doubles = pa.list_(pa.float64())
+    return pa.struct([("sweep", pa.int32()), ("elbo", pa.float64()), ("delta_elbo", pa.float64()), ("delta_alpha", pa.float64()), ("delta_pip", pa.float64()), ("sigma2", pa.float64()), ("cycle_lag", pa.int32()), ("V", doubles), ("top", pa.list_(pa.int32())), ("top_alpha", doubles), ("entropy", doubles), ("events", pa.list_(pa.string()))])
+
+
+_ARROW = pa.schema([
+    ("region_id", pa.string()), ("setting", pa.string()), ("status", pa.string()), ("error", pa.string()), ("n_variants", pa.int32()), ("sigma2", pa.float64()), ("niter", pa.int32()), ("converged", pa.bool_()), ("stop_reason", pa.string()), ("criterion", pa.string()), ("elbo", pa.list_(pa.float64())),
+    ("null_index", pa.int32()), ("intercept", pa.float64()), ("scales", pa.list_(pa.float64())), ("prior", pa.list_(pa.float64())), ("warnings", pa.list_(pa.string())), ("refinement", pa.string()), ("components", pa.list_(_effect_type())), ("trace", pa.list_(_sweep_type())),
+])
+
+
+def _row(region: str, setting: str, fit: Fit) -> dict:
+    import json
+
+    L, q = fit.alpha.shape
+    effects = [
+        {
+            "component_id": k, "V": float(fit.V[k]), "lbf": float(fit.lbf[k]), "kl": float(fit.kl[k]), "slot_weight": None if fit.slot_weights is None else float(fit.slot_weights[k]), "rv": None if fit.rv is None else float(fit.rv[k]),
+            "alpha": fit.alpha[k], "mu": fit.mu[k], "mu2": fit.mu2[k], "lbf_variable": fit.lbf_variable[k],
+        }
+        for k in range(L)
+    ]
+    return {
+        "region_id": region, "setting": setting, "status": "fitted", "error": None, "n_variants": q - (fit.null_index is not None), "sigma2": fit.sigma2, "niter": fit.niter, "converged": fit.converged, "stop_reason": fit.stop_reason, "criterion": fit.criterion, "elbo": fit.elbo,
+        "null_index": fit.null_index, "intercept": fit.intercept, "scales": fit.scales, "prior": fit.prior, "warnings": fit.warnings, "refinement": None if fit.refinement is None else json.dumps(fit.refinement), "components": effects, "trace": [{k: t.get(k) for k in _sweep_type().names} for t in fit.trace],
+    }
+
+
+def _solved(region: str, settings: Settings, solve: Callable[[FitSpec], Fit], missing: str | None = None) -> pa.Table:
+    """A row for each setting; errors of the data become a status."""
+    rows = []
+    for name, spec in settings.items():
+        failed = {"region_id": region, "setting": name, "status": missing or "failed", "error": missing}
+        if missing:
+            rows.append(failed)
+            continue
+        try:
+            rows.append(_row(region, name, solve(spec)))
+        except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
+            rows.append(failed | {"error": str(e)})
+    return pa.Table.from_pylist([{k: r.get(k) for k in _ARROW.names} for r in rows], _ARROW)
+
+
+def _named(settings: FitSpec | Settings) -> Settings:
+    return {"baseline": settings} if isinstance(settings, FitSpec) else dict(settings)
+
+
+def _matrix(table: pa.Table, order: str, row: str) -> np.ndarray:
+    """The rows of a matrix, sorted; rows of different lengths raise."""
+    table = table.sort_by(order)
+    flat = table.column(row).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    if table.num_rows == 0 or len(flat) % table.num_rows:
+        raise ValueError("matrix rows differ in length")
+    return flat.reshape(table.num_rows, -1)
+
 
-FIT = "region_id string, component_id int, idx int, alpha double, mu double, mu2 double, lbf_variable double, V double, lbf double, kl double, sigma2 double, niter int, converged boolean, elbo double"
+def _optional(table: pa.Table, name: str) -> np.ndarray | None:
+    return None if name not in table.column_names or table.column(name).null_count == table.num_rows else table.column(name).to_numpy(zero_copy_only=False).astype(float)
 
 
-def _rows(region: str, fit, p: int) -> pd.DataFrame:
-    L = len(fit.V)
-    wide = lambda x: np.repeat(x, p)
-    flat = lambda x: x[:, :p].ravel()
-    return pd.DataFrame({
-        "region_id": region, "component_id": wide(np.arange(L)), "idx": np.tile(np.arange(p), L), "alpha": flat(fit.alpha), "mu": flat(fit.mu), "mu2": flat(fit.mu2), "lbf_variable": flat(fit.lbf_variable),
-        "V": wide(fit.V), "lbf": wide(fit.lbf), "kl": wide(fit.kl), "sigma2": fit.sigma2, "niter": fit.niter, "converged": fit.converged, "elbo": fit.elbo[-1],
-    })
+def _columns(df: DataFrame, required: Iterable[str], optional: Iterable[str]) -> DataFrame:
+    names = [*required, *[c for c in optional if c in df.columns]]
+    return df.select(F.col("region_id").cast("string").alias("region_id"), *[F.col(c).cast("int" if c in ("idx", "i") else "double").alias(c) for c in names])
 
 
-def fit_regions(assoc: DataFrame, ld_rows: DataFrame, spec: FitSpec) -> DataFrame:
-    """Summary-statistic fits. ``assoc``: region_id, idx, z, n; ``ld_rows``: region_id, i, r (a row of the matrix).
+def fit_regions(assoc: DataFrame, ld_rows: DataFrame, settings: FitSpec | Settings, *, maf_threshold: float = 0.0, ridge: float | str | None = None) -> DataFrame:
+    """Summary-statistic fits (schema ``FITS``).
 
-    Both sides are shuffled by region once; each region is solved in one task, so the memory
-    of a task follows its largest region. Regions without z or without a full matrix raise.
+    ``assoc``: region_id, idx, z or bhat and shat, and n, var_y, maf, prior_weight where known;
+    ``ld_rows``: region_id, i, r (a row of the matrix). Missing z count as 0. ``ridge`` fits the
+    likelihood with a ridge of that size, or of one estimated for each region ("estimate").
+    Both sides are shuffled by region once. A region on one side alone gets a row that says so.
     """
+    settings = _named(settings)
+    left = _columns(assoc, ["idx"], ["z", "bhat", "shat", "n", "var_y", "maf", "prior_weight"])
 
-    def solve(a: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        a, r = a.sort_values("idx"), r.sort_values("i")
-        n = a["n"].iloc[0]
-        out = fit_rss(a["z"].to_numpy(float), np.stack(r["r"].to_numpy()), None if pd.isna(n) else float(n), spec)
-        return _rows(a["region_id"].iloc[0], out, len(a))
+    def solve(a: pa.Table, r: pa.Table) -> pa.Table:
+        region = (a if a.num_rows else r).column("region_id")[0].as_py()
+        missing = "no associations" if not a.num_rows else "no correlations" if not r.num_rows else None
+        if missing:
+            return _solved(region, settings, lambda s: None, missing)
+        a = a.sort_by("idx")
+        one = lambda k: None if (v := _optional(a, k)) is None else float(v[0])
+        n, var_y, z, bhat = one("n"), one("var_y"), _optional(a, "z"), _optional(a, "bhat")
 
-    left = assoc.select(F.col("region_id").cast("string"), "idx", F.col("z").cast("double"), F.col("n").cast("double")).groupBy("region_id")
-    return left.cogroup(ld_rows.select(F.col("region_id").cast("string"), "i", "r").groupBy("region_id")).applyInPandas(solve, FIT)
+        def run(spec: FitSpec) -> Fit:
+            R = _matrix(r, "i", "r")
+            if ridge is not None:
+                return fit_rss_ridge(z if bhat is None else bhat / _optional(a, "shat"), R, n, spec, None if ridge == "estimate" else float(ridge), _optional(a, "prior_weight"))
+            by_z = {"z": z if z is not None else np.zeros(a.num_rows)} if bhat is None else {"bhat": bhat, "shat": _optional(a, "shat")}
+            return fit_rss(**by_z, R=R, n=n, spec=spec, prior=_optional(a, "prior_weight"), var_y=var_y, maf=_optional(a, "maf") if maf_threshold else None, maf_threshold=maf_threshold)
 
+        return _solved(region, settings, run)
 
-def fit_regions_suff_stat(gram_rows: DataFrame, spec: FitSpec) -> DataFrame:
-    """``gram_rows``: region_id, i, xtx (a row), xty, yty, n."""
+    right = ld_rows.select(F.col("region_id").cast("string").alias("region_id"), F.col("i").cast("int").alias("i"), F.col("r").cast("array<double>").alias("r"))
+    return left.groupBy("region_id").cogroup(right.groupBy("region_id")).applyInArrow(solve, FITS)
 
-    def solve(a: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values("i")
-        out = fit_suff_stat(np.stack(a["xtx"].to_numpy()), a["xty"].to_numpy(float), float(a["yty"].iloc[0]), float(a["n"].iloc[0]), spec)
-        return _rows(a["region_id"].iloc[0], out, len(a))
 
-    return gram_rows.select(F.col("region_id").cast("string"), "i", "xtx", "xty", "yty", "n").groupBy("region_id").applyInPandas(solve, FIT)
+def fit_regions_suff_stat(gram_rows: DataFrame, settings: FitSpec | Settings) -> DataFrame:
+    """Fits to cross products. ``gram_rows``: region_id, i, xtx (a row), xty, yty, n, and prior_weight where known; missing xty count as 0."""
+    settings = _named(settings)
+    rows = gram_rows.select(F.col("region_id").cast("string").alias("region_id"), F.col("i").cast("int").alias("i"), F.col("xtx").cast("array<double>").alias("xtx"), *[F.col(c).cast("double").alias(c) for c in ("xty", "yty", "n", "prior_weight") if c in gram_rows.columns])
+
+    def solve(a: pa.Table) -> pa.Table:
+        a = a.sort_by("i")
+        run = lambda s: fit_suff_stat(_matrix(a, "i", "xtx"), a.column("xty").to_numpy(zero_copy_only=False).astype(float), float(a.column("yty")[0].as_py()), float(a.column("n")[0].as_py()), s, prior=_optional(a, "prior_weight"))
+        return _solved(a.column("region_id")[0].as_py(), settings, run)
+
+    return rows.groupBy("region_id").applyInArrow(solve, FITS)
+
+
+def fit_regions_individual(samples: DataFrame, settings: FitSpec | Settings, *, intercept: bool = True, drop_missing: bool = False, auto: bool = False) -> DataFrame:
+    """Fits to designs. ``samples``: region_id, sample_id, x (array of the predictors), y; ``auto`` searches the number of effects."""
+    settings = _named(settings)
+    rows = samples.select(F.col("region_id").cast("string").alias("region_id"), "sample_id", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"))
+
+    def solve(a: pa.Table) -> pa.Table:
+        a = a.sort_by("sample_id")
+        y = a.column("y").to_numpy(zero_copy_only=False).astype(float)
+        if auto:
+            return _solved(a.column("region_id")[0].as_py(), settings, lambda s: fit_auto(_matrix(a, "sample_id", "x"), y, s, intercept=intercept, drop_missing=drop_missing))
+        return _solved(a.column("region_id")[0].as_py(), settings, lambda s: fit_individual(_matrix(a, "sample_id", "x"), y, s, intercept=intercept, drop_missing=drop_missing))
+
+    return rows.groupBy("region_id").applyInArrow(solve, FITS)
+
+
+def fit_trends(series: DataFrame, settings: FitSpec | Settings, *, order: int = 0) -> DataFrame:
+    """Change points of ordered series. ``series``: region_id, at (what orders a series), y; a component's variables are places in that order."""
+    settings = _named(settings)
+    rows = series.select(F.col("region_id").cast("string").alias("region_id"), "at", F.col("y").cast("double").alias("y"))
+
+    def solve(a: pa.Table) -> pa.Table:
+        y = a.sort_by("at").column("y").to_numpy(zero_copy_only=False).astype(float)
+        return _solved(a.column("region_id")[0].as_py(), settings, lambda s: fit_trend(y, s, order=order))
+
+    return rows.groupBy("region_id").applyInArrow(solve, FITS)
+
+
+def effects(fits: DataFrame, setting: str | None = "baseline") -> DataFrame:
+    """One row per region, component and variable of the fitted regions; the null column has idx ``null_index``. ``setting`` None keeps all, with their names."""
+    kept = fits.where("status = 'fitted'")
+    kept = kept if setting is None else kept.where(F.col("setting") == setting)
+    each = kept.select("region_id", "setting", "sigma2", "niter", "converged", F.element_at("elbo", -1).alias("elbo"), "null_index", F.explode("components").alias("c"))
+    rows = each.select("region_id", "setting", "sigma2", "niter", "converged", "elbo", "null_index", *[F.col("c")[k].alias(k) for k in ("component_id", "V", "lbf", "kl", "slot_weight")], F.posexplode(F.arrays_zip("c.alpha", "c.mu", "c.mu2", "c.lbf_variable")).alias("idx", "cell"))
+    out = rows.select("region_id", "setting", "component_id", "idx", *[F.col("cell")[k].alias(k) for k in ("alpha", "mu", "mu2", "lbf_variable")], "V", "lbf", "kl", "slot_weight", "sigma2", "niter", "converged", "elbo", "null_index")
+    return out if setting is None else out.drop("setting")
+
+
+def traces(fits: DataFrame) -> DataFrame:
+    """One row per region, setting and sweep."""
+    return fits.where("status = 'fitted'").select("region_id", "setting", F.explode("trace").alias("t")).select("region_id", "setting", "t.*")
 
 
 def sensitivity(assoc: DataFrame, ld_rows: DataFrame, base: FitSpec, changes: dict[str, dict]) -> DataFrame:
-    """One fit for each setting and region, with a column ``setting``."""
-    parts = [fit_regions(assoc, ld_rows, replace(base, **c)).withColumn("setting", F.lit(name)) for name, c in {"baseline": {}, **changes}.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A fit for each setting and region, in one grouped call that reads each region once."""
+    from dataclasses import replace
+
+    return fit_regions(assoc, ld_rows, {name: replace(base, **c) for name, c in {"baseline": {}, **changes}.items()})
+
+
+def standard_plan(L: int = 10, refine: bool = True) -> dict[str, dict]:
+    """Settings that a fit is usually compared with: half and twice the effects, other coverages and purity, refinement."""
+    plan = {"half_L": {"L": max(1, L // 2)}, "double_L": {"L": 2 * L}, "coverage_0.90": {"coverage": 0.90}, "coverage_0.99": {"coverage": 0.99}, "purity_0.8": {"min_abs_corr": 0.8}}
+    return plan | ({"refine": {"refine": True}} if refine else {})

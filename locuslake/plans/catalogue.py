@@ -1,6 +1,6 @@
-"""Registered queries of the fine-mapping engine and their SQL."""
+"""Registered queries of the fine-mapping engine and SQL for those that SQL can express."""
 
-from . import fits, relational
+from . import fits, oracles, relational
 
-QUERIES = {**fits.QUERIES, **{name: relational.query(name) for name in relational.SELECTS}}
-ORACLE_SQL = {name: relational.sql(name, "duckdb") for name in relational.SELECTS}
+QUERIES = {**fits.QUERIES, **relational.QUERIES}
+ORACLE_SQL = {name: text for name, text in oracles.ORACLE_SQL.items() if name in QUERIES}

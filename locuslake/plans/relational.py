@@ -1,113 +1,277 @@
-"""Relational fine-mapping queries as SQL over the embedding table, for Spark and for DuckDB.
-
-Predictors are the embedding's components, with near copies of the first sixteen; component 0
-answers a simulated response, components 1 to 3 the labels 0 to 2. Only the reading of arrays
-differs between the two dialects.
-"""
+"""Queries of the relational operators over the simulated regions; ``oracles`` has SQL for each, written apart."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-READ = {
-    "spark": "SELECT vec_id, label, CAST(pos AS BIGINT) AS idx, CAST(v AS DOUBLE) AS x FROM parquet.`{dir}/embeddings.parquet` LATERAL VIEW posexplode(embedding) t AS pos, v",
-    "duckdb": "SELECT vec_id, label, CAST(unnest(range(0, len(embedding))) AS BIGINT) AS idx, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings",
-}
-
-STEPS = {
-    "x0": "{read}",
-    "y": "SELECT vec_id, label, sum(CASE WHEN idx = 7 THEN x WHEN idx = 23 THEN -0.8e0 * x ELSE 0e0 END) + 0.5e0 * (CAST((vec_id * 7919) % 1009 AS DOUBLE) / 1009e0 - 0.5e0) AS y FROM x0 GROUP BY vec_id, label",
-    "x": "SELECT vec_id, idx, x FROM x0 UNION ALL SELECT a.vec_id, a.idx + 64 AS idx, a.x + 0.1e0 * b.x AS x FROM x0 a JOIN x0 b ON a.vec_id = b.vec_id AND b.idx = a.idx + 1 WHERE a.idx < 16",
-    "outcome": "SELECT vec_id, CAST(0 AS BIGINT) AS component_id, y FROM y UNION ALL SELECT vec_id, CAST(c.k + 1 AS BIGINT) AS component_id, CASE WHEN label = c.k THEN 1e0 ELSE 0e0 END AS y FROM y CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) c",
-    "moments": "SELECT component_id, idx, CAST(count(*) AS DOUBLE) AS n, avg(x) AS mx, avg(o.y) AS my, var_samp(x) AS vx, var_samp(o.y) AS vy, covar_samp(x, o.y) AS cxy, sum(x * o.y) AS sxy, sum(x * x) AS sxx, sum(o.y * o.y) AS syy FROM x JOIN outcome o USING (vec_id) GROUP BY component_id, idx",
-    "marginal": "SELECT *, cxy / vx AS bhat, sqrt((vy - cxy * cxy / vx) * (n - 1) / (n - 2) / ((n - 1) * vx)) AS shat FROM moments WHERE vx > 0",
-    "z": "SELECT *, bhat / shat AS z, bhat / shat * sqrt((n - 1) / (bhat / shat * (bhat / shat) + n - 2)) AS zt FROM marginal WHERE shat > 0",
-    "bf": "SELECT component_id, idx, n, vx, vy, mx, my, zt, 0.2e0 AS v, -0.5e0 * ln(1 + (n - 1) * 0.2e0) + 0.5e0 * zt * zt * 0.2e0 / (0.2e0 + 1 / (n - 1)) AS lbf FROM z",
-    "top": "SELECT component_id, max(lbf) AS top, count(*) AS p FROM bf GROUP BY component_id",
-    "total": "SELECT component_id, max(t.top) AS top, max(p) AS p, sum(exp(lbf - t.top)) AS s FROM bf JOIN top t USING (component_id) GROUP BY component_id",
-    "fit": "SELECT component_id, idx, n, vx, vy, mx, my, lbf, t.top + ln(s) - ln(CAST(p AS DOUBLE)) AS lbf_total, exp(lbf - t.top) / s AS alpha, 0.2e0 / (0.2e0 + 1 / (n - 1)) * zt / sqrt(n - 1) AS mu, 0.2e0 / (0.2e0 * (n - 1) + 1) AS post_var FROM bf JOIN total t USING (component_id)",
-    "ranked": "SELECT *, sum(alpha) OVER (PARTITION BY component_id ORDER BY alpha DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, row_number() OVER (PARTITION BY component_id ORDER BY alpha DESC, idx) AS rank FROM fit",
-    "member": "SELECT component_id, idx, alpha, rank FROM ranked WHERE cum - alpha < 0.95e0",
-    "ld": "SELECT a.idx AS i, b.idx AS j, corr(a.x, b.x) AS r FROM x a JOIN x b ON a.vec_id = b.vec_id WHERE a.idx < b.idx GROUP BY a.idx, b.idx",
-    "ld_both": "SELECT i, j, r FROM ld UNION ALL SELECT j AS i, i AS j, r FROM ld",
-    "pips": "SELECT idx, 1 - exp(sum(ln(greatest(1 - alpha, 1e-300)))) AS pip FROM fit GROUP BY idx",
-    "pair": "SELECT a.component_id AS a, b.component_id AS b, a.idx, a.lbf AS l1, b.lbf AS l2, a.alpha AS alpha_a, b.alpha AS alpha_b FROM fit a JOIN fit b ON a.idx = b.idx WHERE a.component_id < b.component_id",
-    "pair_top": "SELECT a, b, max(l1) AS m1, max(l2) AS m2, max(l1 + l2) AS m12 FROM pair GROUP BY a, b",
-    "pair_sum": "SELECT a, b, max(m1) + ln(sum(exp(l1 - m1))) AS s1, max(m2) + ln(sum(exp(l2 - m2))) AS s2, max(m12) + ln(sum(exp(l1 + l2 - m12))) AS s12 FROM pair JOIN pair_top USING (a, b) GROUP BY a, b",
-}
-
-_H = "SELECT a, b, 0e0 AS h0, ln(1e-4) + s1 AS h1, ln(1e-4) + s2 AS h2, 2 * ln(1e-4) + s1 + s2 + ln(greatest(1 - exp(s12 - s1 - s2), 1e-300)) AS h3, ln(5e-6) + s12 AS h4 FROM pair_sum"
-_HE = f"SELECT a, b, exp(h0 - m) AS e0, exp(h1 - m) AS e1, exp(h2 - m) AS e2, exp(h3 - m) AS e3, exp(h4 - m) AS e4 FROM (SELECT *, greatest(h0, h1, h2, h3, h4) AS m FROM ({_H}) h) g"
-
-#: Query by name: the step names it needs come from the text itself.
-SELECTS = {
-    "suff_stat_gram": "SELECT a.idx AS i, b.idx AS j, round(covar_samp(a.x, b.x) * (count(*) - 1), 6) AS xtx FROM x0 a JOIN x0 b ON a.vec_id = b.vec_id WHERE a.idx <= b.idx GROUP BY a.idx, b.idx",
-    "suff_stat_xty": "SELECT component_id, idx, round(cxy * (n - 1), 6) AS xty, round(vy * (n - 1), 6) AS yty, CAST(n AS BIGINT) AS n FROM moments",
-    "marginal_regression": "SELECT component_id, idx, round(bhat, 6) AS bhat, round(shat, 6) AS shat FROM marginal",
-    "marginal_z_multi_outcome": "SELECT component_id, idx, round(z, 6) AS z FROM z",
-    "uncentered_bhat_shat": "SELECT component_id, idx, round(sxy / sxx, 6) AS bhat, round(sqrt(greatest((syy - sxy * sxy / sxx) / (n - 1), 1e-64) / sxx), 6) AS shat FROM moments WHERE sxx > 0",
-    "wald_adjust": "SELECT component_id, idx, round(zt, 6) AS z_adjusted, round(sqrt(n - 1) * zt, 5) AS xty FROM z",
-    "ser_fixed_v": "SELECT component_id, idx, round(lbf, 6) AS lbf, round(alpha, 6) AS alpha, round(mu, 6) AS mu, round(lbf_total, 6) AS lbf_total FROM fit",
-    "ser_null_weight": "SELECT component_id, idx, round(exp(lbf - top) * 0.8e0 / p / (s * 0.8e0 / p + 0.2e0 * exp(-top)), 6) AS alpha FROM bf JOIN total USING (component_id)",
-    "ser_prior_weights": "SELECT component_id, idx, round(w * exp(lbf - top) / sum(w * exp(lbf - top)) OVER (PARTITION BY component_id), 6) AS alpha FROM (SELECT b.*, t.top, CAST(1 + b.idx % 3 AS DOUBLE) AS w FROM bf b JOIN total t USING (component_id)) q",
-    "ser_mixture_fixed": "SELECT component_id, idx, round(ln(0.5e0 * exp(-0.5e0 * ln(1 + (n - 1) * 0.05e0) + 0.5e0 * zt * zt * 0.05e0 / (0.05e0 + 1 / (n - 1)) - lbf) + 0.5e0) + lbf, 6) AS lbf FROM bf",
-    "ser_em_one_step": "SELECT component_id, round(sum(alpha * (post_var + mu * mu)), 8) AS v_next FROM fit GROUP BY component_id",
-    "pip_product": "SELECT idx, round(pip, 6) AS pip FROM pips",
-    "posterior_mean_sd": "SELECT idx, round(sum(alpha * mu), 6) AS mean, round(sqrt(greatest(sum(alpha * (post_var + mu * mu) - alpha * mu * alpha * mu), 0e0)), 6) AS sd FROM fit GROUP BY idx",
-    "coef_intercept": "SELECT component_id, round(max(my) - sum(alpha * mu * sqrt(vy) / sqrt(vx) * mx), 6) AS intercept, round(sum(alpha * mu * sqrt(vy) / sqrt(vx)), 6) AS sum_coef FROM fit GROUP BY component_id",
-    "predict_response": "SELECT vec_id, round(sum(alpha * mu * sqrt(vy) / sqrt(vx) * (x - mx)) + max(my), 6) AS fitted FROM x JOIN fit USING (idx) WHERE component_id = 0 GROUP BY vec_id",
-    "credible_sets": "SELECT component_id, idx, CAST(rank AS BIGINT) AS rank, round(alpha, 6) AS alpha FROM member",
-    "cs_attainable": "SELECT component_id, count(*) AS size, round(sum(alpha), 6) AS mass FROM (SELECT *, max(alpha) OVER (PARTITION BY idx) AS best FROM fit) q WHERE alpha = best GROUP BY component_id",
-    "cs_purity": "SELECT component_id, count(*) AS pairs, round(min(abs(r)), 6) AS min_abs_corr, round(avg(abs(r)), 6) AS mean_abs_corr, round(median(abs(r)), 6) AS median_abs_corr FROM member a JOIN member b USING (component_id) JOIN ld ON ld.i = a.idx AND ld.j = b.idx GROUP BY component_id",
-    "cs_extension": "SELECT component_id, ld_both.j AS idx FROM member JOIN ld_both ON ld_both.i = member.idx WHERE abs(r) > 0.95e0 UNION SELECT component_id, idx FROM member",
-    "cs_relations": "SELECT a.component_id AS a, b.component_id AS b, count(*) AS shared FROM member a JOIN member b ON a.idx = b.idx WHERE a.component_id < b.component_id GROUP BY a.component_id, b.component_id",
-    "proxies": "SELECT m.component_id, m.idx AS member, l.j AS proxy, round(l.r, 6) AS r FROM member m JOIN ld_both l ON l.i = m.idx LEFT JOIN member own ON own.component_id = m.component_id AND own.idx = l.j WHERE abs(l.r) >= 0.99e0 AND own.idx IS NULL",
-    "absolute_order": "SELECT idx, CAST(row_number() OVER (ORDER BY abs(round(bhat, 9)) DESC, idx) AS BIGINT) AS place FROM marginal WHERE component_id = 0",
-    "univar_order": "SELECT idx, CAST(row_number() OVER (ORDER BY abs(round(sxy / sxx, 9)) DESC, idx) AS BIGINT) AS place FROM moments WHERE component_id = 0",
-    "maf_filter": "SELECT idx, CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS new_idx, round(maf, 6) AS maf FROM (SELECT idx, least(share, 1 - share) AS maf FROM (SELECT idx, avg(CASE WHEN x > 0.05e0 THEN 1e0 ELSE 0e0 END) AS share FROM x GROUP BY idx) s) m WHERE maf > 0.3e0",
-    "ld_correlation": "SELECT i, j, round(r, 6) AS r FROM ld",
-    "ld_symmetry_check": "SELECT count(*) AS entries, sum(CASE WHEN b.i IS NULL OR a.r <> b.r THEN 1 ELSE 0 END) AS unequal FROM ld_both a LEFT JOIN ld_both b ON a.i = b.j AND a.j = b.i",
-    "ld_symmetrize": "SELECT i, j, round(avg(r), 6) AS r FROM (SELECT i, j, r + 0.001e0 * (i - j) AS r FROM ld_both UNION ALL SELECT j AS i, i AS j, r + 0.001e0 * (i - j) AS r FROM ld_both) q WHERE i < j GROUP BY i, j",
-    "entropy_effective": "SELECT component_id, round(exp(-sum(CASE WHEN alpha > 0 THEN alpha * ln(alpha) ELSE 0e0 END)), 4) AS effective FROM fit GROUP BY component_id",
-    "prior_influence": "SELECT component_id, idx, round(lbf - first_value(lbf) OVER (PARTITION BY component_id ORDER BY alpha DESC, idx), 6) AS delta_lbf FROM fit",
-    "coloc_pairwise": f"SELECT a, b, round(e0 / (e0 + e1 + e2 + e3 + e4), 6) AS pp_h0, round(e1 / (e0 + e1 + e2 + e3 + e4), 6) AS pp_h1, round(e2 / (e0 + e1 + e2 + e3 + e4), 6) AS pp_h2, round(e3 / (e0 + e1 + e2 + e3 + e4), 6) AS pp_h3, round(e4 / (e0 + e1 + e2 + e3 + e4), 6) AS pp_h4 FROM ({_HE}) e",
-    "susiex_configs": "SELECT a, b, round(exp(s1 - ln(p) - m) / t, 6) AS only_a, round(exp(s2 - ln(p) - m) / t, 6) AS only_b, round(exp(s12 - ln(p) - m) / t, 6) AS shared FROM (SELECT *, exp(-m) + exp(s1 - ln(p) - m) + exp(s2 - ln(p) - m) + exp(s12 - ln(p) - m) AS t FROM (SELECT s.*, CAST(q.p AS DOUBLE) AS p, greatest(0e0, s1 - ln(q.p), s2 - ln(q.p), s12 - ln(q.p)) AS m FROM pair_sum s CROSS JOIN (SELECT max(p) AS p FROM total) q) u) w",
-    "compare_pips": "SELECT a.component_id AS a, b.component_id AS b, round(corr(a.alpha, b.alpha), 6) AS pearson, round(max(abs(a.alpha - b.alpha)), 6) AS max_abs_delta FROM fit a JOIN fit b ON a.idx = b.idx WHERE a.component_id < b.component_id GROUP BY a.component_id, b.component_id",
-    "posterior_overlap": "SELECT a, b, round(sum(least(alpha_a, alpha_b)), 6) AS overlap FROM pair GROUP BY a, b",
-    "relation_labels": "SELECT a, b, CASE WHEN da > 1 AND db > 1 THEN 'ambiguous' WHEN da > 1 THEN 'split' WHEN db > 1 THEN 'merge' ELSE 'matched' END AS label FROM (SELECT a, b, count(*) OVER (PARTITION BY a) AS da, count(*) OVER (PARTITION BY b) AS db FROM (SELECT a, b FROM pair GROUP BY a, b HAVING sum(least(alpha_a, alpha_b)) >= 0.3e0) e) d",
-    "column_summary": "SELECT idx, round(min(x), 6) AS low, round(median(x), 6) AS middle, round(max(x), 6) AS high, count(*) - count(x) AS missing FROM x GROUP BY idx",
-    "trend_design_products": "SELECT vec_id, round(-sum(y) OVER (ORDER BY vec_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS xty0 FROM y",
-    "candidate_sources": "SELECT idx, max(from_cs) AS in_set, max(from_pip) AS by_pip FROM (SELECT idx, 1 AS from_cs, 0 AS from_pip FROM member UNION ALL SELECT idx, 0 AS from_cs, 1 AS from_pip FROM pips WHERE pip >= 0.1e0) c GROUP BY idx",
-}
-
-
-def _steps(text: str) -> list[str]:
-    """Steps that a text names, each after those it needs itself."""
-    import re
-
-    out: list[str] = []
-
-    def need(t: str) -> None:
-        for name in re.findall(r"(?:FROM|JOIN)\s+(\w+)", t):
-            if name in STEPS and name not in out:
-                need(STEPS[name])
-                if name not in out:
-                    out.append(name)
-
-    need(text)
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import analysis, comparison, inputs, moments, posterior, ser
+from ..sources import store
+from ..sources.scratch import written
+from .simulated import marginal, region_moments, samples, single, single_with_moments, two_settings
+
+R = F.round
+
+
+def _long(c: str) -> Column:
+    return F.col(c).cast("long")
+
+
+def suff_stat_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return region_moments(spark, sf_dir, copies=False).select(_long("i").alias("i"), F.posexplode("xtx").alias("j", "xtx")).where("i <= j").select("i", _long("j").alias("j"), R("xtx", 6).alias("xtx"))
+
+
+def _marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marginal(spark, sf_dir).select(_long("outcome").alias("component_id"), _long("idx").alias("idx"), "n", "bhat", "shat", "z", "z_adjusted", "xty", "yty")
+
+
+def suff_stat_xty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marginals(spark, sf_dir).select("component_id", "idx", R("xty", 6).alias("xty"), R("yty", 6).alias("yty"), _long("n").alias("n"))
+
+
+def marginal_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marginals(spark, sf_dir).select("component_id", "idx", R("bhat", 6).alias("bhat"), R("shat", 6).alias("shat"))
+
+
+def marginal_z_multi_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marginals(spark, sf_dir).select("component_id", "idx", R("z", 6).alias("z"))
+
+
+def uncentered_bhat_shat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moments.uncentred_effects(region_moments(spark, sf_dir)).select(_long("outcome").alias("component_id"), _long("idx").alias("idx"), R("bhat", 6).alias("bhat"), R("shat", 6).alias("shat"))
+
+
+def wald_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marginals(spark, sf_dir).select("component_id", "idx", R("z_adjusted", 6).alias("z_adjusted"), R(F.sqrt(F.col("n") - 1) * F.col("z_adjusted"), 5).alias("xty"))
+
+
+def _fit_rows(fit: DataFrame, **columns: Column) -> DataFrame:
+    return fit.select(_long("component_id").alias("component_id"), _long("idx").alias("idx"), *[c.alias(k) for k, c in columns.items()])
+
+
+def ser_fixed_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit_rows(single(spark, sf_dir), lbf=R("lbf_variable", 6), alpha=R("alpha", 6), mu=R("mu", 6), lbf_total=R("lbf", 6))
+
+
+def ser_null_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit_rows(single(spark, sf_dir, null_weight=0.2).where("idx <> null_index"), alpha=R("alpha", 6))
+
+
+def ser_prior_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = inputs.prior_weights(marginal(spark, sf_dir).where("shat > 0 AND outcome = 0").select("region_id", "idx", (1 + F.col("idx") % 3).cast("double").alias("weight")))
+    assoc = marginal(spark, sf_dir).where("shat > 0").join(weighted, ["region_id", "idx"])
+    return _fit_rows(ser.single_effects(assoc, weight="weight"), alpha=R("alpha", 6))
+
+
+def ser_mixture_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit_rows(single(spark, sf_dir, mixture=[(0.05, 0.5), (0.2, 0.5)]), lbf=R("lbf_variable", 6))
+
+
+def ser_em_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ser.em_variance(single(spark, sf_dir)).select(_long("component_id").alias("component_id"), R("V", 8).alias("v_next"))
+
+
+def pip_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posterior.pip(single(spark, sf_dir)).select(_long("idx").alias("idx"), R("pip", 6).alias("pip"))
+
+
+def posterior_mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posterior.posterior_moments(single(spark, sf_dir)).select(_long("idx").alias("idx"), R("mean", 6).alias("mean"), R("sd", 6).alias("sd"))
+
+
+def _data_scale(spark: SparkSession, sf_dir: str, outcome: int) -> tuple[DataFrame, DataFrame]:
+    """One outcome's coefficients on the data's scale, and the means of its variables."""
+    fit, table = single_with_moments(spark, sf_dir)
+    stats = moments.sufficient_statistics(table, outcome).select("region_id", F.col("i").alias("idx"), "mean", "y_mean", F.sqrt(F.element_at("xtx", F.col("i") + 1) / F.col("yty")).alias("scale"))
+    return posterior.coefficients(fit.where(F.col("component_id") == outcome), stats.select("region_id", "idx", "scale")), stats
+
+
+def coef_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for k in range(4):
+        coef, means = _data_scale(spark, sf_dir, k)
+        total = coef.groupBy("region_id").agg(F.sum("coef").alias("sum_coef"))
+        rows = posterior.intercepts(coef, means).join(total, "region_id").select(F.lit(k).cast("long").alias("component_id"), R("intercept", 6).alias("intercept"), R("sum_coef", 6).alias("sum_coef"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def sql(name: str, dialect: str, sf_dir: str = "") -> str:
-    steps = ", ".join(f"{s} AS ({STEPS[s].replace('{read}', READ[dialect])})" for s in _steps(SELECTS[name]))
-    return f"WITH {steps} {SELECTS[name]}".replace("{dir}", sf_dir)
+def predict_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coef, means = _data_scale(spark, sf_dir, 0)
+    return posterior.predict(samples(spark, sf_dir), coef, posterior.intercepts(coef, means)).select("vec_id", R("fitted", 6).alias("fitted"))
+
+
+def credible_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit_rows(posterior.credible_set_members(single(spark, sf_dir)), rank=_long("rank"), alpha=R("alpha", 6))
+
+
+def cs_attainable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posterior.attainable_sets(single(spark, sf_dir), 0.3).select(_long("component_id").alias("component_id"), _long("attainable").alias("size"), R("mass", 6).alias("mass"))
+
+
+def _sets(fit: DataFrame) -> DataFrame:
+    return posterior.credible_sets(fit, None)
+
+
+def cs_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit, table = single_with_moments(spark, sf_dir)
+    return posterior.purity(posterior.set_candidates(fit), table).select(_long("component_id").alias("component_id"), "pairs", *[R(f"{c}_abs_corr", 6).alias(f"{c}_abs_corr") for c in ("min", "mean", "median")])
+
+
+def cs_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit, table = single_with_moments(spark, sf_dir)
+    return posterior.extended(posterior.set_candidates(fit), table, 0.95).select(_long("component_id").alias("component_id"), F.explode(F.col("members").cast("array<bigint>")).alias("idx"))
+
+
+def cs_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.set_relations(_sets(single(spark, sf_dir))).select(_long("a").alias("a"), _long("b").alias("b"), _long("shared").alias("shared"))
+
+
+def set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.set_relations(_sets(single(spark, sf_dir))).select(_long("a").alias("a"), _long("b").alias("b"), _long("shared").alias("shared"), R("jaccard", 6).alias("jaccard"))
+
+
+def proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit, table = single_with_moments(spark, sf_dir)
+    return analysis.proxies(_sets(fit), table).select(_long("component_id").alias("component_id"), _long("member").alias("member"), _long("proxy").alias("proxy"), R("r", 6).alias("r"))
+
+
+def absolute_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = marginal(spark, sf_dir).select(F.col("outcome").cast("string").alias("region_id"), "outcome", "idx", R("bhat", 9).alias("bhat"))
+    return inputs.absolute_order(rows, "bhat").select(_long("outcome").alias("component_id"), _long("idx").alias("idx"), _long("place").alias("place"))
+
+
+def univar_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = moments.uncentred_effects(region_moments(spark, sf_dir)).select(F.col("outcome").cast("string").alias("region_id"), "outcome", "idx", R("bhat", 9).alias("bhat"))
+    return inputs.absolute_order(rows, "bhat").select(_long("outcome").alias("component_id"), _long("idx").alias("idx"), _long("place").alias("place"))
+
+
+def maf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = samples(spark, sf_dir).select("region_id", F.posexplode("x").alias("idx", "x")).groupBy("region_id", "idx").agg(F.avg((F.col("x") > 0.05).cast("double")).alias("share"))
+    assoc = share.select("region_id", "idx", F.least("share", 1 - F.col("share")).alias("maf"))
+    kept, rows = inputs.maf_filtered(assoc, region_moments(spark, sf_dir).select("region_id", "i", "r"), 0.3)
+    sums = rows.select("region_id", F.col("i").alias("idx"), F.size("r").cast("long").alias("row_size"), F.aggregate("r", F.lit(-1.0), lambda s, v: s + v).alias("row_sum"))
+    return kept.join(sums, ["region_id", "idx"]).select(_long("old_idx").alias("old_idx"), _long("idx").alias("new_idx"), R("maf", 6).alias("maf"), "row_size", R("row_sum", 4).alias("row_sum"))
+
+
+def ld_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moments.ld_pairs(region_moments(spark, sf_dir)).where("i < j").select(_long("i").alias("i"), _long("j").alias("j"), R("r", 6).alias("r"))
+
+
+def ld_symmetry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skewed = region_moments(spark, sf_dir).select("region_id", "i", F.transform("r", lambda v, j: R(v, 12) + F.when((F.col("i") + j) % 7 == 0, 0.001 * (F.col("i") - j)).otherwise(0.0)).alias("r"))
+    return inputs.asymmetry(skewed).select(_long("unequal").alias("unequal"), R("max_asymmetry", 6).alias("max_asymmetry"))
+
+
+def ld_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skewed = region_moments(spark, sf_dir).select("region_id", "i", F.transform("r", lambda v, j: v + 0.001 * (F.col("i") - j)).alias("r"))
+    return moments.ld_pairs(inputs.symmetrised(skewed)).where("i < j").select(_long("i").alias("i"), _long("j").alias("j"), R("r", 6).alias("r"))
+
+
+def entropy_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posterior.entropy(single(spark, sf_dir)).select(_long("component_id").alias("component_id"), R("effective", 4).alias("effective"))
+
+
+def prior_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit_rows(analysis.prior_influence(single(spark, sf_dir)), delta_lbf=R("delta_lbf", 6))
+
+
+def coloc_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = written(single(spark, sf_dir))
+    return posterior.coloc(fit, fit).where("hit1 < hit2").select(_long("hit1").alias("a"), _long("hit2").alias("b"), *[R(f"pp_h{k}", 6).alias(f"pp_h{k}") for k in range(5)])
+
+
+def susiex_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = written(single(spark, sf_dir))
+    configs, _ = posterior.outcome_configurations(fit.select("region_id", F.col("component_id").alias("outcome"), F.lit(0).alias("component_id"), "idx", "lbf_variable"))
+    return configs.select(_long("config").alias("config"), R("probability", 6).alias("probability"))
+
+
+def compare_pips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits, _ = two_settings(spark, sf_dir)
+    return comparison.pip_metrics(fits).select("variables", *[R(c, 6).alias(c) for c in ("pearson", "max_abs_delta", "candidate_max_abs_delta")])
+
+
+def fit_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits, _ = two_settings(spark, sf_dir)
+    return comparison.alignment(fits).select("shared", F.size("omitted_a").cast("long").alias("omitted_narrow"), F.size("omitted_b").cast("long").alias("omitted_wide"))
+
+
+def posterior_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits, _ = two_settings(spark, sf_dir)
+    return comparison.effect_overlaps(fits).select(_long("component_id_a").alias("a"), _long("component_id_b").alias("b"), R("overlap", 6).alias("overlap"))
+
+
+def _edges(fits: DataFrame) -> DataFrame:
+    return comparison.classified(comparison.effect_overlaps(fits).where("overlap >= 0.3"))
+
+
+def relation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits, _ = two_settings(spark, sf_dir)
+    return _edges(fits).select(_long("component_id_a").alias("a"), _long("component_id_b").alias("b"), "label")
+
+
+def unmatched_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits, _ = two_settings(spark, sf_dir)
+    return comparison.unmatched(fits, _edges(fits)).select(F.when(F.col("side") == "a", "narrow").otherwise("wide").alias("side"), _long("component_id").alias("component_id"), R("omitted_mass", 6).alias("omitted_mass"))
+
+
+def stability_of_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits, _ = two_settings(spark, sf_dir)
+    sets = posterior.set_candidates(fits)
+    return comparison.set_stability(sets, _edges(fits), "narrow").select(_long("component_id_a").alias("component_id"), R("jaccard", 6).alias("jaccard"))
+
+
+def column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples(spark, sf_dir).select(F.posexplode("x").alias("idx", "x"))
+    return analysis.column_summary(rows, "x", ["idx"]).select(_long("idx").alias("idx"), *[R(c, 6).alias(c) for c in ("low", "middle", "high")], "missing")
+
+
+def trend_design_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label").join(samples(spark, sf_dir).select("vec_id", F.get("y", F.lit(0)).alias("y")), "vec_id")
+    w = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(_long("label").alias("label"), "vec_id", R(-F.sum("y").over(w), 6).alias("xty0"))
+
+
+def candidate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = written(single(spark, sf_dir))
+    return analysis.candidate_sources(fit, posterior.credible_set_members(fit)).select(_long("idx").alias("idx"), "in_set", "by_pip")
+
+
+def set_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = written(single(spark, sf_dir))
+    return _fit_rows(analysis.representatives(fit, _sets(fit)), alpha=R("alpha", 6))
+
+
+def _ranked_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = posterior.pip(single(spark, sf_dir)).withColumn("pip", R("pip", 9))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("region_id").orderBy(F.col("pip").desc(), "idx")))
+
+
+def variant_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_variants(spark, sf_dir).select(_long("idx").alias("idx"), R("pip", 6).alias("pip"), _long("place").alias("place"))
+
+
+def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = written(single(spark, sf_dir))
+    rows = analysis.top_candidates(fit, _sets(fit), 3).where("source = 'set'")
+    return _fit_rows(rows, place=_long("place"), value=R("value", 6))
+
+
+def component_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = written(single(spark, sf_dir))
+    return analysis.components(fit).select(_long("component_id").alias("component_id"), R("lbf", 6).alias("lbf"), R("log10_bf", 6).alias("log10_bf"), R("entropy", 5).alias("entropy"), R("top_alpha", 6).alias("top_alpha"), _long("top_idx").alias("top_idx"))
+
 
+def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.evidence_facts({"variants": _ranked_variants(spark, sf_dir).select("idx", "place")}, {"variants": ["idx"]}).select("id", "pointer", "value")
 
-def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql(name, "spark", sf_dir))
 
-    run.__name__ = name
-    return run
+QUERIES = {
+    f.__name__: f
+    for f in (
+        suff_stat_gram, suff_stat_xty, marginal_regression, marginal_z_multi_outcome, uncentered_bhat_shat, wald_adjust, ser_fixed_v, ser_null_weight, ser_prior_weights, ser_mixture_fixed, ser_em_one_step, pip_product, posterior_mean_sd, coef_intercept, predict_response, credible_sets, cs_attainable,
+        cs_purity, cs_extension, cs_relations, set_jaccard, proxies, absolute_order, univar_order, maf_filter, ld_correlation, ld_symmetry_check, ld_symmetrize, entropy_effective, prior_influence, coloc_pairwise, susiex_configs, compare_pips, fit_alignment, posterior_overlap, relation_labels, unmatched_effects,
+        stability_of_sets, column_summary, trend_design_products, candidate_sources, set_representatives, variant_rank, top_candidates, component_table, evidence_ids,
+    )
+}
