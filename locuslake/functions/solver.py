@@ -365,11 +365,13 @@ class Stopping:
         return None
 
 
-def fit(Q, g: np.ndarray, yty: float, n: float, spec: FitSpec, *, V0, sigma2: float, prior: np.ndarray | None = None, start: dict | None = None) -> Fit:
+def fit(Q, g: np.ndarray, yty: float, n: float, spec: FitSpec, *, V0, sigma2: float, prior: np.ndarray | None = None, start: dict | None = None, noise=None) -> Fit:
     """Iterative Bayesian stepwise selection on a Gram matrix (or operator) and cross products.
 
-    ``start`` may hold alpha, mu, mu2 of earlier effects, and V and sigma2; effects beyond them
-    begin cold.
+    ``start`` may hold alpha, mu, mu2 and V of earlier effects; effects beyond them begin cold.
+    ``noise`` says by what factor each variable's sampling variance is larger than the Gram
+    matrix has it: ``noise.factors(mean, fitted, sigma2)`` of the other effects, and
+    ``noise.swept(residual, mean, fitted, sigma2)`` after each sweep.
     """
     g = np.asarray(g, float)
     gram = Q if isinstance(Q, Gram) else None
@@ -424,22 +426,27 @@ def fit(Q, g: np.ndarray, yty: float, n: float, spec: FitSpec, *, V0, sigma2: fl
             if slots and weight[k] < slots.threshold:
                 continue
             f = f - weight[k] * Qm[k]
-            r = g - f
+            r, dk = g - f, d
+            if noise is not None:
+                factors = noise.factors((weight[:, None] * m)[np.arange(L) != k].sum(0), f, out.sigma2)
+                r, dk = r / factors, d / factors
             if spec.mixture or not nig:
-                alpha[k], mu[k], mu2[k], lbf_variable[k], lbf[k], V[k] = single_effect(r, d, out.sigma2, V[k], log_prior, spec)
+                alpha[k], mu[k], mu2[k], lbf_variable[k], lbf[k], V[k] = single_effect(r, dk, out.sigma2, V[k], log_prior, spec)
             else:
                 rest = (weight[:, None] * alpha * mu)[np.arange(L) != k].sum(0)
                 yy = max(yty - 2 * rest @ g + rest @ f, EPS)
                 alpha[k], mu[k], mu2[k], lbf_variable[k], lbf[k], V[k], rv[k], marginal[k], kl[k] = nig.effect(r, d, yy, V[k], log_prior, prior)
             m[k] = alpha[k] * mu[k]
             if not nig:
-                kl[k] = -lbf[k] + (m[k] @ r - 0.5 * (d * alpha[k]) @ mu2[k]) / out.sigma2
+                kl[k] = -lbf[k] + (m[k] @ r - 0.5 * (dk * alpha[k]) @ mu2[k]) / out.sigma2
             Qm[k] = gram @ m[k]
             if slots:
                 slots.update(k, lbf[k])
             f = f + weight[k] * Qm[k]
         if slots:
             slots.end_sweep()
+        if noise is not None:
+            noise.swept(g - f, (weight[:, None] * m).sum(0), f, out.sigma2)
         if spec.check_prior and (V > 100 * max_score**2 / out.sigma2).any():
             raise ValueError("the prior variance is unreasonably large; check the summary statistics and the correlations")
         w = weight[:, None]
@@ -478,6 +485,49 @@ def fit(Q, g: np.ndarray, yty: float, n: float, spec: FitSpec, *, V0, sigma2: fl
     return out
 
 
+def objective_of(out: Fit, Q: np.ndarray, g: np.ndarray, yty: float, n: float) -> float:
+    """The Gaussian objective of a posterior as it stands, from explicit divergences; effects of variance 0 have none."""
+    Q, g = np.asarray(Q, float), np.asarray(g, float)
+    if out.null_index is not None:
+        Q, g = np.pad(Q, (0, 1)), np.append(g, 0.0)
+    d, m = np.diag(Q), out.alpha * out.mu
+    b = m.sum(0)
+    er2 = yty - 2 * b @ g + b @ Q @ b - np.einsum("li,ij,lj->", m, Q, m) + float((out.alpha * out.mu2 * d).sum())
+    kl = 0.0
+    for a, mu, mu2, V in zip(out.alpha, out.mu, out.mu2, out.V):
+        if V > 0:
+            on = a > 0
+            var = np.maximum(mu2 - mu * mu, EPS)
+            kl += float((a[on] * (np.log(a[on]) - np.log(out.prior[on] + ROOT_EPS))).sum() + 0.5 * (a * (np.log(V / var) + mu2 / V - 1))[on].sum())
+    return float(-n / 2 * math.log(2 * math.pi * out.sigma2) - er2 / (2 * out.sigma2) - kl)
+
+
+def start_from_coefficients(index: list[int], values: list[float], p: int, prior_variance: float | None = None) -> dict:
+    """A start with one certain effect for each coefficient, which can't be 0."""
+    if len(index) != len(values) or len(set(index)) != len(index) or any(v == 0 for v in values) or any(not 0 <= i < p for i in index):
+        raise ValueError("distinct places within the variables, and a value other than 0 for each")
+    alpha = np.eye(p)[list(index)]
+    mu = alpha * np.asarray(values, float)[:, None]
+    return {"alpha": alpha, "mu": mu, "mu2": mu * mu, "V": None if prior_variance is None else np.full(len(index), prior_variance)}
+
+
+def block_coordinate_ascent(model, data, step: Callable, objective: Callable, max_iter: int = 100, tol: float = 1e-4):
+    """Repeats ``step(model, data, iteration)`` while the objective gains ``tol`` or more; a step that loses is undone. (model, objectives, reason)"""
+    values = [float(objective(model, data))]
+    for k in range(1, max_iter + 1):
+        new = step(model, data, k)
+        value = float(objective(new, data))
+        if not math.isfinite(value):
+            return model, values, "undefined_objective"
+        if value < values[-1]:
+            return model, values, "objective_fell"
+        model, gain = new, value - values[-1]
+        values.append(value)
+        if gain < tol:
+            return model, values, "converged"
+    return model, values, "iteration_limit"
+
+
 def correlation_of(Q: np.ndarray) -> np.ndarray:
     """Correlations from a cross-product matrix; 0 beside a variable without variance."""
     d = np.sqrt(np.diag(Q))

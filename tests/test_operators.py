@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from locuslake.functions.solver import FitSpec, fit_rss
-from locuslake.operators import analysis, comparison, convergence, diagnostics, fitting, inputs, moments, posterior
-from locuslake.sources import gtf, store
+from locuslake.operators import analysis, comparison, convergence, diagnostics, figures, fitting, inputs, moments, posterior, reference, report
+from locuslake.sources import examples, gtf, store
 
 
 @pytest.fixture(scope="module")
@@ -216,3 +216,37 @@ def test_gene_track(spark, tmp_path):
     assert read(1, 300) == [("transcript", "g1", "t1")] and read(160, 300) == [("gene", "g1", None)] and read(300, 400) == []
     with pytest.raises(ValueError):
         read(5, 1)
+
+
+def test_references_panels_and_continuation(spark, fits, table):
+    assoc = moments.marginal_regressions(table).select("region_id", "idx", "z", "n")
+    ld = table.select("region_id", "i", "r")
+    small = reference.fit_regions_reference(assoc, ld, FitSpec(L=4), size=200).collect()
+    assert {r.status for r in small} == {"fitted"} and all("effective_rank" in r.refinement for r in small)
+    two = ld.withColumn("panel_id", F.lit("p")).unionByName(ld.withColumn("panel_id", F.lit("q")))
+    assert reference.fit_regions_panels(assoc, two, FitSpec(L=4)).where("refinement LIKE '%panels%'").count() == 2
+    more = reference.continue_fits(fits, assoc, ld, FitSpec(L=4), "short")
+    assert all(r.converged for r in more.collect()) and more.where("setting = 'continued'").count() == 2
+    full = {(r.region_id, r.idx): r.pip for r in posterior.pip(fitting.effects(fits)).collect()}
+    assert all(abs(full[r.region_id, r.idx] - r.pip) < 1e-3 for r in posterior.pip(fitting.effects(more, "continued")).collect())
+
+
+def test_figures_and_reports(spark, tmp_path, fits, fit, table):
+    sets = posterior.credible_sets(fit, table)
+    rows = figures.locus(fit, sets, table)
+    assert rows.count() == 48 and rows.where("member AND r2 < 0.9").count() == 0
+    assert figures.signal(fit, 0).where("rank = 1").count() == 2 and figures.convergence(fitting.traces(fits)).where("gap < -1e-6").count() == 0
+    assert figures.sensitivity(fitting.effects(fits, None)).where("size(pip) = 3").count() >= 4
+    found = report.flags(fits, sets)
+    assert {r.region_id for r in found.where("flag = 'fit_failed' AND raised").collect()} == {"alone"}
+    text = {r.region_id: r.text for r in report.summary_text(found).collect()}
+    assert text["a"].startswith("nothing raised; not checked: flipped_alleles") and "fit_failed" in text["alone"]
+    report.write_report(spark, {"sets": sets, "flags": found}, f"file://{tmp_path}/page", rows=3)
+    assert "<h2>flags</h2><p>3 of" in spark.read.text(f"file://{tmp_path}/page").first().value
+
+
+def test_example(spark):
+    assoc, ld = examples.example(spark, variants=60, effects={10: 0.35, 40: -0.3})
+    fit = fitting.effects(fitting.fit_regions(assoc, ld, FitSpec(L=5)))
+    members = [set(r.members) for r in posterior.credible_sets(fit, ld).collect()]
+    assert any(10 in m for m in members) and any(40 in m for m in members)

@@ -3,8 +3,8 @@ import math
 import numpy as np
 import pytest
 
-from locuslake.functions import ld
-from locuslake.functions.solver import FitSpec, Gram, SlotPrior, fit, fit_auto, fit_individual, fit_rss, fit_suff_stat, fit_trend, set_members
+from locuslake.functions import ld, panels
+from locuslake.functions.solver import FitSpec, Gram, SlotPrior, block_coordinate_ascent, fit, fit_auto, fit_individual, fit_rss, fit_suff_stat, fit_trend, objective_of, set_members, start_from_coefficients
 from locuslake.functions.special import digamma, log10_p_value, logsumexp, minimise, normal_cdf, normal_quantile
 
 ONE = FitSpec(L=1, estimate_prior="none", residual_variance=1.0)
@@ -199,3 +199,57 @@ def test_special_functions():
     assert abs(normal_cdf(1.959963984540054) - 0.975) < 1e-12 and abs(normal_quantile(0.975) - 1.959963984540054) < 1e-9
     p = log10_p_value(np.array([0.0, 1.959963984540054, 36.0, 50.0]))
     assert abs(p[0]) < 1e-12 and abs(p[1] + math.log10(0.05)) < 1e-9 and abs(log10_p_value(34.9999) - log10_p_value(35.0001)) < 5e-3 and abs(p[3] - 544.6653) < 0.001
+
+
+def test_objective_of_a_posterior_is_the_logged_one(data):
+    X, y = data
+    X, y = X - X.mean(0), y - y.mean()
+    spec = FitSpec(L=4, standardize=False, tol=1e-9)
+    out = fit_suff_stat(X.T @ X, X.T @ y, y @ y, 400, spec)
+    out.V[:], active = out.V, out.V > 0
+    assert abs(objective_of(out, X.T @ X, X.T @ y, y @ y, 400) - out.elbo[-1]) < 1e-4 and active.sum() == 2
+
+
+def test_warm_starts_and_ascent():
+    start = start_from_coefficients([1, 3], [0.5, -0.2], 5)
+    assert start["alpha"].shape == (2, 5) and start["mu"][1, 3] == -0.2
+    with pytest.raises(ValueError):
+        start_from_coefficients([1, 1], [0.5, 0.2], 5)
+    z, R = np.array([6.0, 0.0, -5.0]), np.eye(3)
+    cold = fit_rss(z, R, 200, FitSpec(L=2))
+    warm = fit_rss(z, R, 200, FitSpec(L=2), start={"alpha": cold.alpha, "mu": cold.mu, "mu2": cold.mu2, "V": cold.V})
+    assert warm.niter == 2 and np.abs(warm.alpha - cold.alpha).max() < 1e-6
+    value = lambda m, d: -((m - d) ** 2)
+    model, values, reason = block_coordinate_ascent(0.0, 3.0, lambda m, d, k: m + (d - m) / 2, value, tol=1e-6)
+    assert reason == "converged" and abs(model - 3) < 0.01 and values == sorted(values)
+    assert block_coordinate_ascent(3.0, 3.0, lambda m, d, k: m + 1, value)[::2] == (3.0, "objective_fell")
+
+
+def test_references_of_limited_size_weaken_secondary_evidence():
+    rng = np.random.default_rng(10)
+    A = rng.normal(size=(2000, 15))
+    A[:, 1] = A[:, 0] + 0.3 * rng.normal(size=2000)
+    R = np.corrcoef(A.T)
+    z = R[:, 0] * 14 - R[:, 7] * 8 + 0.2 * rng.normal(size=15)
+    exact, _ = panels.fit_rss_reference(z, R, 2000, FitSpec(L=3))
+    small, quality = panels.fit_rss_reference(z, R, 2000, FitSpec(L=3), size=60)
+    assert np.abs(exact.pip() - fit_rss(z, R, 2000, FitSpec(L=3, check_prior=False)).pip()).max() < 1e-6
+    assert small.lbf.sum() < exact.lbf.sum() and max(quality["attenuation"]) > 0 and set(quality["attenuation_label"]) <= {"stable", "mildly_sensitive", "sensitive", "highly_sensitive"}
+    S = R.copy()
+    S[7], S[:, 7] = -S[7], -S[:, 7]
+    S[0], S[:, 0] = 0.2 * S[0], 0.2 * S[:, 0]
+    np.fill_diagonal(S, 1.0)
+    _, wrong = panels.fit_rss_reference(z, S, 2000, FitSpec(L=3), mismatch=True)
+    _, right = panels.fit_rss_reference(z, R, 2000, FitSpec(L=3), mismatch=True)
+    assert wrong["bias"] >= right["bias"]
+
+
+def test_panels_are_weighted_by_what_they_explain():
+    rng = np.random.default_rng(11)
+    A, B = rng.normal(size=(800, 10)), rng.normal(size=(800, 10))
+    A[:, 1] = A[:, 0] + 0.4 * rng.normal(size=800)
+    B[:, 5] = B[:, 0] + 0.4 * rng.normal(size=800)
+    R = [np.corrcoef(X.T) for X in (B, A)]
+    z = R[1][:, 0] * 10 + 0.2 * rng.normal(size=10)
+    out, weights = panels.fit_rss_panels(z, R, 800, FitSpec(L=1))  # either panel alone has the same objective
+    assert abs(weights.sum() - 1) < 1e-9 and weights[1] > 0.8 and out.pip()[0] > 0.8
