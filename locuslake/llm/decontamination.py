@@ -89,7 +89,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, *, id_col: str, text_col: str,
     both = both.where(((F.size("slots_") == asked) | (F.col("n") < window)) & (literal | F.col("verbatim")))
     both = both.select("doc_id", "row", "item_id", "matched", "item_windows", F.size("slots_").alias("slots"), "verbatim")
     best = both.groupBy("doc_id", "row", "item_id").agg(F.max(F.struct("matched", "verbatim", "slots", "item_windows")).alias("best"))
-    return scratch.save(best.select("doc_id", "row", "item_id", "best.*"), "found")
+    found = scratch.save(best.select("doc_id", "row", "item_id", "best.*"), "found")
+    scratch.drop("items", "item-windows", "likely")
+    return found
 
 
 def contaminated(

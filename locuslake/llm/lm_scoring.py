@@ -636,8 +636,7 @@ def score(
     classes = Classes.by_frequency(id_counts, subwords(path).begins)
     of_chunk = dealt.where("bucket < 0").drop("bucket", "words", "n").groupBy("chunk").cogroup(coded.where("chunk >= 0").groupBy("chunk"))
     chunks = scratch.save(of_chunk.applyInArrow(_joined, _CHUNK), "chunks")
-    scratch.drop("dealt")
-    scratch.drop("coded")
+    scratch.drop("dealt", "coded")
     lm = spark.sparkContext.broadcast(train(chunks, classes, size.train, rounds=rounds))
     return chunks.mapInArrow(_score(lm, size.train, total, distinct, mix), SCHEMA)
 

@@ -287,6 +287,8 @@ def _of_texts(docs: DataFrame, id_col: str, text_col: str, threshold: float, cen
     more = _exact_links(last, content, scratch, threshold, "last")
     if not more.isEmpty():
         labels = components(links.unionByName(more), scratch, "last")
+    steps = [f"{step}-{kind}" for step in ("first", "second", "last") for kind in ("pairs", "likely", "links", "edges", "named")]
+    scratch.drop("open", "near", "bits", "held", "content", "centre", "centres", "left-all", "left", "rest-left-all", "rest-left", "rest", "units", "prefixes", *steps)
     return signed_rows.select("doc_id", "hash", "key"), texts.select("key", "doc").join(labels, "doc", "left").select("key", F.coalesce("class", "doc").alias("class")), scratch
 
 

@@ -191,6 +191,7 @@ def distinct_surrogates(values: DataFrame, key: str, scratch: Scratch) -> DataFr
         if clash.where("clash").isEmpty():
             return current.select("kind", "value", "surrogate")
         step += 1
+        scratch.drop(f"surrogates-{step - 2}")
         kept = clash.where("NOT clash").select("kind", "value", "attempt", "surrogate")
         again = drawn(clash.where("clash").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
         current = scratch.save(kept.unionByName(again), f"surrogates-{step}")
@@ -232,6 +233,7 @@ def replace_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pattern = F.when(F.size("names") > 0, F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(longest, "|"), F.lit(r")(?!\p{L})")))
     by_row = by_row.select(F.col("row").alias(row_), F.map_from_entries(F.concat("entries", single)).alias(map_), pattern.alias(names_))
     filled = scratch.save(hits.join(by_row, row_), "filled")
+    scratch.drop("hits", "mentions", "real", "replacements")
 
     def replaced(rows: DataFrame, whole: Column) -> DataFrame:
         pieces, places = F.split(text, whole, -1), F.regexp_extract_all(text, whole, F.lit(0))

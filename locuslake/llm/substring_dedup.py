@@ -166,8 +166,7 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark)
     runs = repeated_windows(docs, scratch, id_col=id_col, text_col=text_col, target=target, half=target // 2)
     by_doc = scratch.save(runs.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "windows")).alias("starts")), "removed")
-    for name in ("shared", "least", "several", "settled", "windows", "repeated"):
-        scratch.drop(name)
+    scratch.drop("shared", "least", "several", "settled", "windows", "repeated")
     source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(docs[text_col]).alias("row"), docs[text_col].cast("string").alias("text"))
     return source.join(by_doc, ["doc_id", "row"], "left").select("doc_id", "text", "starts").mapInArrow(_digests(target, with_text), RESULT + ", kept_text string" * with_text)
 
