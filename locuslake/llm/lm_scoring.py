@@ -23,19 +23,19 @@ from __future__ import annotations
 
 import base64
 import math
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_fold, table, text_bytes
+from .common import Scratch, in_fold, mix, table
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -239,7 +239,7 @@ class Trainer:
         self.second = [np.zeros_like(a) for a in model.arrays()[1:]]
 
     def batch(self, inputs: np.ndarray, targets: np.ndarray) -> float:
-        """One step on a batch of windows; its mean loss a token. Logits stay far below where exponentials overflow, so no maximum is taken."""
+        """One step on a batch of windows, those of a text in order; its mean loss a token. Logits stay far below where exponentials overflow, so no maximum is taken."""
         m = self.model
         n, width, b = len(m.direct) - 1, m.key.shape[1], len(inputs)
         keys = np.where(inputs >= 0, inputs, n).astype(np.uint16)
@@ -272,12 +272,19 @@ class Trainer:
         g_s = g_o @ v.transpose(0, 2, 1)
         g_s -= np.einsum("ijk,ijk->ij", g_s, a)[:, :, None]
         g_s *= a
-        both = np.empty((b, CONTEXT, 2 * width), np.float32)
-        both[:, :, :width] = g_s.transpose(0, 2, 1) @ q
-        both[:, :, width:] = a.transpose(0, 2, 1) @ g_o
+        # What stands before a window's targets are the inputs of the window before it, or nothing:
+        # gradients of one place are summed before they are sorted by row of the tables.
+        by_place = np.empty((len(cur) + CONTEXT - STRIDE, 3 * width), np.float32)
+        here = by_place[: len(cur)].reshape(b, STRIDE, -1)
+        here[:, :, :width] = g_s @ k
+        by_place[len(cur) :, :width] = 0
+        for part, g in ((slice(width, 2 * width), g_s.transpose(0, 2, 1) @ q), (slice(2 * width, None), a.transpose(0, 2, 1) @ g_o)):
+            here[:, :, part] = g[:, CONTEXT - STRIDE :]
+            here[:-1, :, part] += g[1:, : CONTEXT - STRIDE]
+            by_place[len(cur) :, part] = g[0, : CONTEXT - STRIDE]
         g_bias = np.bincount(_REL.ravel(), weights=(g_s.sum(0) * _CAUSAL).ravel(), minlength=CONTEXT).astype(np.float32)
-        by_key = _by_row(all_keys, both.reshape(-1, 2 * width), n + 1)
-        self._adam([_by_row(cur, (g_s @ k).reshape(-1, width), n + 1), by_key[:, :width], by_key[:, width:], g_bias, g_out])
+        rows = _by_row(np.concatenate([cur, keys[0, : CONTEXT - STRIDE]]), by_place, n + 1)
+        self._adam([rows[:, :width], rows[:, width : 2 * width], rows[:, 2 * width :], g_bias, g_out])
         return loss
 
     def _adam(self, grads: list[np.ndarray]) -> None:
@@ -298,53 +305,54 @@ class Trainer:
 
 
 class LanguageModel:
-    """A trained model ready to score: exponentials of all tables are taken once."""
+    """A trained model ready to score: exponentials of direct logits and relative biases are taken once."""
 
     def __init__(self, classes: Classes, groups: Groups, model: Attention):
         n = len(model.direct) - 1
         self.classes, self.groups, self.n = classes, groups, n
         self.member = np.ascontiguousarray(groups.member).ravel()
         self.direct = np.exp(model.direct - model.direct.max(1, keepdims=True))
-        pair = np.exp(np.clip(model.query @ model.key.T, -30, 30))
-        self.pair = np.ascontiguousarray(np.concatenate([pair, np.zeros((n + 1, 1), np.float32)], 1)).ravel()  # last: no input
         self.near = np.where(_CAUSAL, np.exp(model.bias[_REL]), 0).astype(np.float32)
-        self.value = np.concatenate([model.value, np.zeros((1, model.value.shape[1]), np.float32)])
-        self.out = model.out
+        self.query, self.key, self.value, self.out = model.query, model.key, model.value, model.out
         self.sums = np.ones((groups.n, 2), np.float32)
         self.sums[groups.beginning :, 0] = 0
 
-    def token_logs(self, ids: np.ndarray, lengths: np.ndarray, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def token_logs(self, ids: np.ndarray, lengths: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Of the ids of several texts: log probability, and log probability that a word begins there."""
         c = self.classes.of[ids]
         inputs, targets = windows_of(c, lengths, self.n)
-        logs, starts = np.empty(targets.size, np.float32), np.empty(targets.size, np.float32)
-        n, none, width = self.n, np.int32(self.n + 1), self.groups.n
-        keys = np.where(inputs >= 0, inputs, none)
-        current = np.where(inputs >= 0, inputs, np.int32(n))[:, CONTEXT - STRIDE :]
+        hits, totals, starts = (np.empty(targets.size, np.float32) for _ in range(3))
+        n, groups, width = self.n, self.groups.n, self.key.shape[1]
+        keys = np.where(inputs >= 0, inputs, n).astype(np.uint16)
+        current = np.ascontiguousarray(keys[:, CONTEXT - STRIDE :])
         at_classes = np.maximum(targets, 0).ravel()
-        at_targets = self.groups.of[at_classes]
-        rows = np.arange(step * STRIDE)
-        # Work arrays are kept, small enough to stay in a core's cache.
-        direct, p = np.empty((step * STRIDE, width), np.float32), np.empty((step * STRIDE, width), np.float32)
+        at_targets = self.groups.of.take(at_classes)
+        ones, rows = np.ones(CONTEXT, np.float32), np.arange(step * STRIDE) * groups
+        whole = (inputs >= 0).all(1)
+        # A work array is kept, small enough to stay in a core's cache.
+        direct = np.empty((step * STRIDE, groups), np.float32)
         for at in range(0, len(inputs), step):
-            k, c = keys[at : at + step], current[at : at + step]
-            m = c.size
-            a = self.pair.take(c[:, :, None] * (none + 1) + k[:, None, :])
+            k, cur = keys[at : at + step].ravel(), current[at : at + step].ravel()
+            b, m = len(k) // CONTEXT, len(cur)
+            a = self.query.take(cur, 0).reshape(b, STRIDE, width) @ self.key.take(k, 0).reshape(b, CONTEXT, width).transpose(0, 2, 1)
+            np.minimum(a, 60, out=a)
+            np.exp(a, out=a)
             a *= self.near
-            o = (a @ self.value[k]).reshape(m, -1)
-            o /= a.sum(-1).reshape(m, 1) + 1e-30
-            q, d = p[:m], direct[:m]
-            np.matmul(o, self.out, out=q)
+            if not whole[at : at + step].all():
+                a *= (inputs[at : at + step] >= 0).astype(np.float32)[:, None, :]
+            o = (a @ self.value.take(k, 0).reshape(b, CONTEXT, width)).reshape(m, width)
+            o /= (a.reshape(m, CONTEXT) @ ones + np.float32(1e-30))[:, None]
+            q = o @ self.out
             np.exp(q, out=q)
-            self.direct.take(c.ravel(), axis=0, out=d, mode="clip")
-            q *= d
+            q *= self.direct.take(cur, 0, out=direct[:m], mode="clip")
             sums = q @ self.sums
             flat = slice(at * STRIDE, at * STRIDE + m)
-            logs[flat] = q[rows[:m], at_targets[flat]] / sums[:, 1]
-            starts[flat] = sums[:, 0] / sums[:, 1]
-        logs, starts = np.log(logs + 1e-30) + self.member.take(current.ravel() * np.int32(n) + at_classes), np.log(starts + 1e-30)
+            q.reshape(-1).take(rows[:m] + at_targets[flat], out=hits[flat], mode="clip")
+            starts[flat], totals[flat] = sums[:, 0], sums[:, 1]
         live = targets.ravel() >= 0
-        return logs[live] + self.classes.inside[ids], starts[live].astype(np.float64)
+        totals = np.log(totals[live])
+        logs = np.log(hits[live] + 1e-30) - totals + self.member.take(current.ravel()[live] * np.int32(n) + at_classes[live])
+        return logs + self.classes.inside[ids], (np.log(starts[live] + 1e-30) - totals).astype(np.float64)
 
 
 def _flatten(index: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -366,15 +374,37 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-class Index(dict):
-    """Numbers words in the order in which they are met."""
+_DEALT = "chunk long, bucket int, docs binary, known_id binary, train binary, length binary, at binary, buckets binary, words binary, sizes binary, n binary"
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Number of words of each text, the words as numbers, and the distinct words; A-Z become lower case, a null text has no words."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = words.flatten()
+    some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # space at an end leaves an empty word
+    before = np.concatenate([[0], np.cumsum(some)])
+    ends = np.cumsum(np.concatenate([[0], pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)]))
+    coded = pc.dictionary_encode(flat.filter(pa.array(some)))
+    return np.diff(before[ends]), coded.indices.to_numpy().astype(np.int32), coded.dictionary
+
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words, one after the other, and where each ends after the first 0."""
+    words = words.cast(pa.large_string())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[ends[0] : ends[-1]], ends - ends[0]
 
 
-_DEALT = "chunk long, bucket int, docs binary, known_id binary, train binary, length binary, at binary, buckets binary, words binary, n binary"
+def _bucket(words: pa.Array, buckets: int) -> np.ndarray:
+    """A number under ``buckets`` that depends on a word's bytes alone: their sum, weighted by place, mixed."""
+    data, ends = _letters(words)
+    size = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], size)
+    with np.errstate(over="ignore"):
+        weighted = data.astype(np.uint64) * mix(place.astype(np.uint64) + np.uint64(1))
+        total = np.add.reduceat(weighted, ends[:-1]) if len(data) else np.zeros(0, np.uint64)
+    return (mix(total) % np.uint64(buckets)).astype(np.uint32)
 
 
 def _deal(chunk_bytes: int, buckets: int):
@@ -385,31 +415,40 @@ def _deal(chunk_bytes: int, buckets: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        index, rows, size = Index(), [], 0
+        held: list[pa.RecordBatch] = []
 
         def full() -> pa.RecordBatch:
-            ids, train, found = zip(*rows)
-            counts = np.bincount(np.concatenate([f for f, t in zip(found, train) if t] or [np.zeros(0, np.int32)]), minlength=len(index))
-            words = list(index)
-            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets)
+            ids, train = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+            length, at, words = _split(pa.concat_arrays([b.column(2).cast(pa.large_string()) for b in held]))
+            train = train.to_numpy(zero_copy_only=False).astype(bool)
+            counts = np.bincount(at[np.repeat(train, length)], minlength=len(words))
+            bucket = _bucket(words, buckets)
             order = np.argsort(bucket, kind="stable")
             used, first = np.unique(bucket[order], return_index=True)
-            docs = [chunk, -1, _pack(np.array([i or 0 for i in ids], np.int64)), _pack(np.array([i is not None for i in ids])), _pack(np.array(train)), _pack(np.array([len(f) for f in found], np.int64)), _pack(np.concatenate(found)), _pack(bucket), None, None]
-            parts = [docs]
+            known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+            parts = [[chunk, -1, _pack(pc.fill_null(ids, 0).to_numpy()), _pack(known), _pack(train), _pack(length.astype(np.int64)), _pack(at), _pack(bucket), None, None, None]]
             for k, own in zip(used, np.split(order, first[1:])):
-                parts.append([chunk, int(k), *[None] * 6, zstandard.ZstdCompressor(level=_LEVEL).compress(b"\n".join([words[i] for i in own])), _pack(counts[own])])
-            types = [pa.int64(), pa.int32()] + [pa.binary()] * 8
+                letters, ends = _letters(words.take(pa.array(own)))
+                parts.append([chunk, int(k), *[None] * 6, _pack(letters), _pack(np.diff(ends).astype(np.int32)), _pack(counts[own].astype(np.int64))])
+            types = [pa.int64(), pa.int32()] + [pa.binary()] * 9
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), types)], names=names)
 
+        size = 0
         for batch in batches:
-            for doc_id, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
-                words = (text or b"").lower().split()
-                rows.append((doc_id, train, np.fromiter(map(index.__getitem__, words), np.int32, len(words))))
-                size += len(text or b"") + 16
+            # Rows are cut where a chunk is full; a longer text is a chunk of its own.
+            bytes_ = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+            start = 0
+            while start < batch.num_rows:
+                room = np.searchsorted(np.cumsum(bytes_[start:]), max(0, chunk_bytes - size), side="left") + 1
+                piece = batch.slice(start, int(room))
+                held.append(piece)
+                size += int(bytes_[start : start + piece.num_rows].sum())
+                start += piece.num_rows
                 if size >= chunk_bytes:
                     yield full()
-                    chunk, index, rows, size = chunk + 1, Index(), [], 0
-        if rows:
+                    chunk, size = chunk + 1, 0
+                    held.clear()
+        if held:
             yield full()
 
     return run
@@ -423,20 +462,23 @@ def _code(path: str):
 
     def run(group: pa.Table) -> pa.Table:
         encode = subwords(path).of
-        unpacked = [zstandard.ZstdDecompressor().decompress(x).split(b"\n") for x in group.column("words").to_pylist()]
+        sizes = [_unpack(x, np.int32) for x in group.column("sizes").to_pylist()]
+        letters = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in group.column("words").to_pylist())
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+        coded = pc.dictionary_encode(words)
+        at = coded.indices.to_numpy().astype(np.int64)
         n = np.concatenate([_unpack(x, np.int64) for x in group.column("n").to_pylist()])
-        index = Index()
-        at = np.fromiter(map(index.__getitem__, chain.from_iterable(unpacked)), np.int64, len(n))
-        c = np.bincount(at, weights=n, minlength=len(index))
-        each = [encode(w) for w in index]
+        c = np.bincount(at, weights=n, minlength=len(coded.dictionary))
+        each = [encode(w) for w in coded.dictionary.to_pylist()]
         size = np.fromiter(map(len, each), np.int64, len(each))
         ids = np.fromiter(chain.from_iterable(each), np.int64, int(size.sum()))
         begin = np.cumsum(size) - size
         rows, start = [], 0
         bucket = group.column("bucket")[0].as_py()
-        for chunk, words in zip(group.column("chunk").to_pylist(), unpacked):
-            own = at[start : start + len(words)]
-            start += len(words)
+        for chunk, own_sizes in zip(group.column("chunk").to_pylist(), sizes):
+            own = at[start : start + len(own_sizes)]
+            start += len(own_sizes)
             rows.append((chunk, bucket, _pack(c[own].astype(np.float32)), _pack(size[own].astype(np.int32)), _pack(_flatten(own, begin, size, ids).astype(np.uint16))))
         sums = np.bincount(ids, weights=np.repeat(c, size), minlength=END + 3)
         sums[END + 1 :] = c.sum(), (c > 0).sum()
@@ -626,7 +668,7 @@ def score(
         return spark.createDataFrame([], SCHEMA)
     buckets = max(1, -(-((size.bytes or 0) + 16 * size.rows) // chunk_bytes))
     dealt = scratch.save(source.mapInArrow(_deal(chunk_bytes, buckets), _DEALT), "dealt")
-    words = dealt.where("bucket >= 0").select("chunk", "bucket", "words", "n")
+    words = dealt.where("bucket >= 0").select("chunk", "bucket", "words", "sizes", "n")
     coded = scratch.save(words.groupBy("bucket").applyInArrow(_code(path), _CODED), "coded")
     found = coded.where("chunk < 0")
     sums = _tree_sum(found.select(F.col("bucket").alias("part"), F.col("c").alias("data"))) if not found.isEmpty() else np.zeros(END + 3)
@@ -634,7 +676,7 @@ def score(
     id_counts = sums[: END + 1].copy()
     id_counts[END] = size.train
     classes = Classes.by_frequency(id_counts, subwords(path).begins)
-    of_chunk = dealt.where("bucket < 0").drop("bucket", "words", "n").groupBy("chunk").cogroup(coded.where("chunk >= 0").groupBy("chunk"))
+    of_chunk = dealt.where("bucket < 0").drop("bucket", "words", "sizes", "n").groupBy("chunk").cogroup(coded.where("chunk >= 0").groupBy("chunk"))
     chunks = scratch.save(of_chunk.applyInArrow(_joined, _CHUNK), "chunks")
     scratch.drop("dealt", "coded")
     lm = spark.sparkContext.broadcast(train(chunks, classes, size.train, rounds=rounds))
