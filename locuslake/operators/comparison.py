@@ -84,6 +84,23 @@ def signal_edges(fits: DataFrame, sets: DataFrame, ld_rows: DataFrame | None = N
     return classified(edges)
 
 
+def signals(fits: DataFrame, sets: DataFrame, prior_tol: float = posterior.PRIOR_TOL) -> DataFrame:
+    """Components that are active or have a set, with their leading variable, its alpha, and the set's members (null without one)."""
+    own = fits.groupBy("region_id", "setting", "component_id").agg(F.first("V").alias("V"), F.min_by("idx", F.struct((-F.col("alpha")).alias("x"), "idx")).alias("top"), F.max("alpha").alias("top_alpha"))
+    rows = own.join(sets.select("region_id", "setting", "component_id", "members"), ["region_id", "setting", "component_id"], "left")
+    return rows.where((F.col("V") > prior_tol) | F.col("members").isNotNull())
+
+
+def seen_from(edges: DataFrame, setting: str) -> DataFrame:
+    """The edges that touch a setting, turned so that it is side a; splits seen from the other side are merges."""
+    straight = edges.where(F.col("setting_a") == setting)
+    turned = edges.where((F.col("setting_b") == setting) & (F.col("setting_a") != setting))
+    other = lambda c: c[:-1] + ("b" if c.endswith("_a") else "a")
+    label = F.when(F.col("label") == "split", "merge").when(F.col("label") == "merge", "split").otherwise(F.col("label"))
+    swapped = turned.select(*[label.alias("label") if c == "label" else F.col(other(c)).alias(c) if c.endswith(("_a", "_b")) else F.col(c) for c in edges.columns])
+    return straight.unionByName(swapped)
+
+
 def classified(edges: DataFrame) -> DataFrame:
     """Edges (region_id, setting_a, setting_b, component_id_a, component_id_b, ...) with ``label``."""
     pair = ["region_id", "setting_a", "setting_b"]

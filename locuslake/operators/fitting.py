@@ -192,6 +192,19 @@ def sensitivity(assoc: DataFrame, ld_rows: DataFrame, base: FitSpec, changes: di
     return fit_regions(assoc, ld_rows, {name: replace(base, **c) for name, c in {"baseline": {}, **changes}.items()})
 
 
+def alternative_inputs(inputs: dict[str, DataFrame], ld_rows: DataFrame, spec: FitSpec) -> DataFrame:
+    """A fit for each table of associations, which names its setting; a table without z of its own for a region has no row for it."""
+    out = None
+    for name, assoc in inputs.items():
+        regions = assoc.select(F.col("region_id").cast("string").alias("region_id")).distinct()
+        own = ld_rows.withColumn("region_id", F.col("region_id").cast("string")).join(regions, "region_id", "left_semi")
+        fits = fit_regions(assoc, own, {name: spec})
+        out = fits if out is None else out.unionByName(fits)
+    if out is None:
+        raise ValueError("no inputs")
+    return out
+
+
 def standard_plan(L: int = 10, refine: bool = True) -> dict[str, dict]:
     """Settings that a fit is usually compared with: half and twice the effects, other coverages and purity, refinement."""
     plan = {"half_L": {"L": max(1, L // 2)}, "double_L": {"L": 2 * L}, "coverage_0.90": {"coverage": 0.90}, "coverage_0.99": {"coverage": 0.99}, "purity_0.8": {"min_abs_corr": 0.8}}

@@ -132,13 +132,30 @@ def marginal_regressions(moments: DataFrame) -> DataFrame:
     return x.withColumn("z_adjusted", F.col("z") * F.sqrt((F.col("n") - 1) / (F.col("z") * F.col("z") + F.col("n") - 2))).select("region_id", "outcome", "idx", "n", "bhat", "shat", "z", "z_adjusted", "ss", "xty", "yty")
 
 
-def uncentred_effects(moments: DataFrame) -> DataFrame:
-    """(region_id, outcome, idx, bhat, shat) of regressions through the origin; the error comes from the residuals' variance about their mean."""
+def residualised(samples: DataFrame) -> DataFrame:
+    """The samples (region_id, sample_id, x, y) with their outcomes less what covariates ``c`` (an array) and a constant explain of them; predictors stay.
+
+    A region's outcomes and covariates meet in one grouped task; predictors aren't read there.
+    """
+
+    def solve(group: pa.Table) -> pa.Table:
+        C, Y = (group.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1) for k in ("c", "y"))
+        C = np.concatenate([np.ones((len(C), 1)), C], 1)
+        left = Y - C @ np.linalg.lstsq(C, Y, rcond=None)[0]
+        return pa.table({"region_id": group.column("region_id"), "sample_id": group.column("sample_id"), "y": pa.array(list(left), pa.list_(pa.float64()))})
+
+    rows = samples.select(F.col("region_id").cast("string").alias("region_id"), F.col("sample_id").cast("long").alias("sample_id"), F.col("y").cast("array<double>").alias("y"), F.col("c").cast("array<double>").alias("c"))
+    found = rows.groupBy("region_id").applyInArrow(solve, "region_id string, sample_id long, y array<double>")
+    return samples.select(F.col("region_id").cast("string").alias("region_id"), F.col("sample_id").cast("long").alias("sample_id"), "x").join(found, ["region_id", "sample_id"])
+
+
+def uncentred_effects(moments: DataFrame, sigma2: float | None = None) -> DataFrame:
+    """(region_id, outcome, idx, bhat, shat) of regressions through the origin; the error comes from ``sigma2`` or from the residuals' variance about their mean."""
     n, mean = F.col("n"), F.col("mean")
     x = moments.select("region_id", F.col("i").alias("idx"), "n", "mean", F.element_at("xtx", F.col("i") + 1).alias("ss"), F.posexplode(F.arrays_zip("xty", "yty", "y_mean")).alias("outcome", "o"))
     sxx, sxy, syy = F.col("ss") + n * mean * mean, F.col("o.xty") + n * mean * F.col("o.y_mean"), F.col("o.yty") + n * F.col("o.y_mean") * F.col("o.y_mean")
     x = x.select("region_id", "outcome", "idx", "n", sxx.alias("sxx"), sxy.alias("sxy"), syy.alias("syy")).where("sxx > 0")
-    spread = F.greatest((F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / (F.col("n") - 1), F.lit(1e-64))
+    spread = F.lit(float(sigma2)) if sigma2 is not None else F.greatest((F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / (F.col("n") - 1), F.lit(1e-64))
     return x.select("region_id", "outcome", "idx", (F.col("sxy") / F.col("sxx")).alias("bhat"), F.sqrt(spread / F.col("sxx")).alias("shat"))
 
 

@@ -250,3 +250,30 @@ def test_example(spark):
     fit = fitting.effects(fitting.fit_regions(assoc, ld, FitSpec(L=5)))
     members = [set(r.members) for r in posterior.credible_sets(fit, ld).collect()]
     assert any(10 in m for m in members) and any(40 in m for m in members)
+
+
+def test_covariates_and_known_variance(spark, region):
+    X, y = region["a"]
+    rng = np.random.default_rng(12)
+    C = rng.normal(size=(300, 2))
+    shifted = y + C @ [2.0, -1.0] + 5
+    rows = [("a", i, X[i].tolist(), [float(shifted[i])], C[i].tolist()) for i in range(300)]
+    out = moments.residualised(spark.createDataFrame(rows, "region_id string, sample_id long, x array<double>, y array<double>, c array<double>"))
+    got = np.array([r.y[0] for r in out.orderBy("sample_id").collect()])
+    D = np.c_[np.ones(300), C]
+    assert np.abs(got - (shifted - D @ np.linalg.lstsq(D, shifted, rcond=None)[0])).max() < 1e-9
+    found = moments.uncentred_effects(moments.region_moments(out.select("region_id", "x", "y")), sigma2=2.0).where("idx = 3").first()
+    assert abs(found.shat - np.sqrt(2.0 / (X[:, 3] ** 2).sum())) < 1e-9 and abs(found.bhat - X[:, 3] @ got / (X[:, 3] ** 2).sum()) < 1e-9
+
+
+def test_alternative_inputs_signals_and_views(spark, table):
+    assoc = moments.marginal_regressions(table).select("region_id", "idx", "z", "n")
+    fits = fitting.alternative_inputs({"as_is": assoc, "turned": assoc.withColumn("z", -F.col("z")).where("region_id = 'a'")}, table.select("region_id", "i", "r"), FitSpec(L=3))
+    both = fitting.effects(fits, None).cache()
+    assert {(r.region_id, r.setting) for r in fits.collect()} == {("a", "as_is"), ("b", "as_is"), ("a", "turned")}
+    sets = posterior.credible_sets(both, table)
+    found = comparison.signals(both, sets)
+    assert found.where("members IS NOT NULL").count() == 6
+    edges = comparison.signal_edges(both, sets, table)
+    seen = comparison.seen_from(edges, "turned")
+    assert seen.count() == edges.count() == 2 and {r.setting_a for r in seen.collect()} == {"turned"}
