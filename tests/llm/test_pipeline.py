@@ -175,3 +175,22 @@ def test_pipeline_against_plain_python(spark, documents, tmp_path):
 def test_stages_are_named_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) and Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
+
+
+def test_main_text_of_all_pages(spark):
+    """These pages hold one article, whose blocks are headings, paragraphs and list items; a line break is a space."""
+    import html
+
+    from locuslake.llm import html_extraction
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    expected = {}
+    for r in pages.collect():
+        inside = re.search(r"<article>(.*?)</article>", r.html or "", re.S)
+        inside = re.sub(r"<!--.*?-->", "", inside.group(1) if inside else "", flags=re.S)
+        inside = re.sub(r"<br>", " ", inside)
+        blocks = re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", inside)
+        lines = [re.sub(r"\s+", " ", html.unescape(re.sub(r"</?[a-z][^>]*>", "", b))).strip() for b in blocks]
+        expected[r.page_id] = "\n".join(x for x in lines if x)
+    got = {r.page_id: r.text for r in html_extraction.extract_main_text(pages).collect()}
+    assert got == expected
