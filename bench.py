@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from locuslake.plans import catalogue
 
-HEADLINE = ["flagship_finemap", "susie_rss_optim", "susie_suff_stat", "credible_sets_fitted", "sensitivity_runs", "coloc_fitted", "suff_stat_gram", "marginal_z_multi_outcome", "ser_fixed_v", "credible_sets", "cs_purity", "ld_correlation", "coloc_pairwise", "posterior_overlap", "pip_product", "predict_response", "susie_individual", "sensitivity_comparison", "ld_diagnosed", "convergence_assessed"]
+HEADLINE = ["flagship_finemap", "susie_rss_optim", "susie_suff_stat", "credible_sets_fitted", "sensitivity_runs", "coloc_fitted", "suff_stat_gram", "marginal_z_multi_outcome", "ser_fixed_v", "credible_sets", "cs_purity", "ld_correlation", "coloc_pairwise", "posterior_overlap", "pip_product", "predict_response", "susie_individual", "sensitivity_comparison", "ld_diagnosed", "convergence_assessed", "many_region_marginals", "many_region_fits"]
 
 
 def main() -> None:

@@ -135,10 +135,19 @@ def coloc_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posterior.coloc(a, b)
 
 
+def many_region_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit for each supplier, of its line items' prices on quantity, discount and tax: many small regions in one pass."""
+    from .relational import _supplier_moments
+
+    table = written(_supplier_moments(spark, sf_dir))
+    fits = fitting.fit_regions(moments.marginal_regressions(table).select("region_id", "idx", "n", "z"), table.select("region_id", "i", "r"), FitSpec(L=2))
+    return fits.select("region_id", "status", "niter", "converged", F.size("components").alias("effects"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flagship_finemap, susie_rss_optim, susie_rss_mixture, susie_rss_ridge, susie_inverse_gamma, susie_slot_prior, susie_suff_stat, susie_individual, susie_automatic, trend_filter, credible_sets_fitted, credible_set_audit, local_false_sign_rates, refined_fits, sensitivity_runs, sensitivity_comparison,
-        model_summaries, convergence_assessed, ld_diagnosed, posterior_draws, coloc_fitted,
+        model_summaries, convergence_assessed, ld_diagnosed, posterior_draws, coloc_fitted, many_region_fits,
     )
 }

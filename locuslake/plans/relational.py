@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import analysis, comparison, inputs, moments, posterior, ser
+from ..operators import analysis, comparison, convergence, inputs, moments, posterior, ser
 from ..sources import store
 from ..sources.scratch import written
 from .simulated import marginal, region_moments, samples, single, single_with_moments, two_settings
@@ -267,11 +267,58 @@ def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.evidence_facts({"variants": _ranked_variants(spark, sf_dir).select("idx", "place")}, {"variants": ["idx"]}).select("id", "pointer", "value")
 
 
+def _supplier_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region for each supplier: what its line items' prices owe to quantity, discount and tax."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("region_id"), F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")]).alias("x"), F.array(F.col("l_extendedprice").cast("double")).alias("y"))
+    return moments.region_moments(rows)
+
+
+def many_region_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moments.marginal_regressions(_supplier_moments(spark, sf_dir)).select(_long("region_id").alias("region_id"), _long("idx").alias("idx"), _long("n").alias("n"), R("bhat", 4).alias("bhat"), R("z", 4).alias("z"))
+
+
+def _event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of events in the order of their time, as if they were the objectives of fits' sweeps."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("region_id"), F.col("event_type").alias("setting"), F.row_number().over(w).cast("long").alias("sweep"), F.col("value").cast("double").alias("elbo"))
+
+
+def trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = convergence.trace_steps(_event_traces(spark, sf_dir))
+    return rows.groupBy("region_id", "setting").agg(F.count("*").alias("sweeps"), F.count_if("sign_change").alias("sign_changes"), R(F.min("step"), 6).alias("least_step"), R(F.median("ratio"), 6).alias("ratio"))
+
+
+def objectives_that_fell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = _event_traces(spark, sf_dir).groupBy("region_id", "setting").agg(F.transform(F.array_sort(F.collect_list(F.struct("sweep", "elbo"))), lambda s: s["elbo"]).alias("elbo")).withColumn("status", F.lit("fitted"))
+    rows = convergence.objectives(packed, 0.5)
+    return rows.groupBy("region_id", "setting").agg(F.count_if("fell").alias("falls"), F.max(F.when(F.col("fell"), F.col("sweep"))).cast("long").alias("last_fall"))
+
+
+def set_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit, table = single_with_moments(spark, sf_dir)
+    # Each component's own variables stand for its set here, so that sets differ.
+    sets = posterior.set_candidates(fit, 0.3)
+    return posterior.set_correlations(fit, sets, table).select(*[_long(c).alias(c) for c in ("component_a", "component_b", "idx_a", "idx_b")], R("r", 6).alias("r"))
+
+
+def input_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = region_moments(spark, sf_dir)
+    assoc = moments.marginal_regressions(table).where("outcome = 0").select("region_id", "idx", F.when(F.col("idx") % 9 != 0, F.col("z")).alias("z"))
+    matrix = table.select("region_id", "i", F.transform("r", lambda v: R(v, 12)).alias("r"))
+    return inputs.quality(assoc, matrix).select("variables", "missing_z", "infinite_z", "rows", "bad_rows", _long("unequal").alias("unequal"), "usable")
+
+
+def proxies_of_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs in strong correlation, from the rows of the matrix."""
+    return moments.ld_pairs(region_moments(spark, sf_dir)).where("i < j AND abs(r) >= 0.9").select(_long("i").alias("i"), _long("j").alias("j"), R("r", 6).alias("r"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         suff_stat_gram, suff_stat_xty, marginal_regression, marginal_z_multi_outcome, uncentered_bhat_shat, wald_adjust, ser_fixed_v, ser_null_weight, ser_prior_weights, ser_mixture_fixed, ser_em_one_step, pip_product, posterior_mean_sd, coef_intercept, predict_response, credible_sets, cs_attainable,
         cs_purity, cs_extension, cs_relations, set_jaccard, proxies, absolute_order, univar_order, maf_filter, ld_correlation, ld_symmetry_check, ld_symmetrize, entropy_effective, prior_influence, coloc_pairwise, susiex_configs, compare_pips, fit_alignment, posterior_overlap, relation_labels, unmatched_effects,
         stability_of_sets, column_summary, trend_design_products, candidate_sources, set_representatives, variant_rank, top_candidates, component_table, evidence_ids,
+        many_region_marginals, trace_steps, objectives_that_fell, set_correlations, input_quality, proxies_of_variables,
     )
 }
