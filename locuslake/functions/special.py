@@ -46,23 +46,49 @@ def digamma(x: float) -> float:
     return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
 
 
-def minimise(f: Callable[[float], float], low: float, high: float, tol: float = 1e-8, steps: int = 200, cells: int = 32) -> float:
-    """Golden sections of the bracket round the best of a coarse grid, so that one local minimum doesn't hide a deeper one."""
-    grid = np.linspace(low, high, cells + 1)
-    k = int(np.argmin([f(float(x)) for x in grid]))
-    a, b = float(grid[max(0, k - 1)]), float(grid[min(len(grid) - 1, k + 1)])
-    g = (math.sqrt(5) - 1) / 2
-    c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = f(c), f(d)
+def minimise(f: Callable[[float], float], low: float, high: float, tol: float = 1e-8, steps: int = 100, cells: int = 16) -> float:
+    """The least place of a function, from the best cell of a coarse grid, so that one local minimum doesn't hide a deeper one.
+
+    In the cell, parabolas through the three best places so far propose the next one; where a
+    proposal leaves the bracket or moves more than half of the move before last, a golden
+    section is taken instead.
+    """
+    grid = [low + (high - low) * k / cells for k in range(cells + 1)]
+    values = [f(x) for x in grid]
+    k = int(np.argmin(values))
+    a, b = grid[max(0, k - 1)], grid[min(cells, k + 1)]
+    golden = (3 - math.sqrt(5)) / 2
+    if 0 < k < cells:
+        best = [(values[k], grid[k])] + sorted([(values[k - 1], a), (values[k + 1], b)])
+    else:  # the edge itself may be least: begin inside the cell beside it
+        x = a + golden * (b - a)
+        best = sorted([(f(x), x), (values[k], grid[k])]) * 2
+    edge = (values[k], grid[k])
+    x = best[0][1]
+    if not a < x < b:
+        x = a + golden * (b - a)
+        best = [(f(x), x)] * 3
+    move = earlier = b - a
     for _ in range(steps):
-        if b - a < tol * (1 + abs(a)):
+        (fx, x), (fw, w), (fv, v) = best[:3]
+        close = tol * (1 + abs(x))
+        if b - a < 2 * close or max(x - a, b - x) < 2 * close:
             break
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = f(c)
+        p, q = 0.0, 0.0
+        if x != w != v != x:
+            r, s = (x - w) * (fx - fv), (x - v) * (fx - fw)
+            p, q = (x - v) * s - (x - w) * r, 2 * (r - s)
+        step = p / q if q else math.inf
+        if abs(step) < abs(earlier) / 2 and a + close < x + step < b - close:
+            earlier, move = move, step
         else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = f(d)
-    return 0.5 * (a + b)
+            earlier = (b - x) if x < (a + b) / 2 else (a - x)
+            move = golden * earlier
+        u = x + (move if abs(move) >= close else math.copysign(close, move))
+        fu = f(u)
+        if fu <= fx:
+            a, b = (x, b) if u > x else (a, x)
+        else:
+            a, b = (a, u) if u > x else (u, b)
+        best = sorted([(fu, u), *best[:3]], key=lambda t: t[0])[:3]
+    return best[0][1] if best[0][0] <= edge[0] else edge[1]
