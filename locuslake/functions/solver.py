@@ -439,7 +439,7 @@ def fit(Q, g: np.ndarray, yty: float, n: float, spec: FitSpec, *, V0, sigma2: fl
             m[k] = alpha[k] * mu[k]
             if not nig:
                 kl[k] = -lbf[k] + (m[k] @ r - 0.5 * (dk * alpha[k]) @ mu2[k]) / out.sigma2
-            Qm[k] = gram @ m[k]
+            Qm[k] = gram @ m[k] if m[k].any() else 0.0
             if slots:
                 slots.update(k, lbf[k])
             f = f + weight[k] * Qm[k]
@@ -616,10 +616,18 @@ def _symmetric(M: np.ndarray, p: int, what: str) -> np.ndarray:
     M = np.asarray(M, float)
     if M.shape != (p, p) or not np.isfinite(M).all() or (np.diag(M) < 0).any():
         raise ValueError(f"{what} must be {p} by {p}, finite, with a diagonal of 0 or more")
-    return (M + M.T) / 2
+    return M if np.array_equal(M, M.T) else (M + M.T) / 2
 
 
-def _known_n(out: Fit, d: np.ndarray) -> Fit:
+def _fit_scaled(M: np.ndarray, s: np.ndarray | float, Xty, yty: float, n: float, spec: FitSpec, prior, start) -> Fit:
+    """A fit to cross products diag(s) M diag(s), on the working scale; neither scaled matrix is formed."""
+    diagonal = s * s * np.diag(M)
+    d = np.sqrt(diagonal / (n - 1)) if spec.standardize else np.ones(len(Xty))
+    d = np.where(d == 0, 1.0, d)
+    scale, var_y = s / d, yty / (n - 1)
+    gram = Gram(diagonal / d**2, lambda m: scale * (M @ (scale * m)))
+    V0 = np.asarray(spec.scaled_prior_variance, float) * (1.0 if spec.residual_model == "nig" else var_y)
+    out = _fit_all(gram, Xty / d, yty, n, spec, V0=V0, sigma2=spec.residual_variance or var_y, prior=prior, start=start, R=correlation_of(M) if spec.refine else None)
     out.scales = d
     return out
 
@@ -664,35 +672,29 @@ def fit_rss(
         if least < 0 and least <= -spec.r_tol:
             raise ValueError("the correlations aren't positive semidefinite")
     if n is None:
-        out = _fit_all(R, z, 1.0, 2.0, spec, V0=spec.prior_variance, sigma2=spec.residual_variance or 1.0, prior=prior, start=start, R=correlation_of(R))
+        out = _fit_all(R, z, 1.0, 2.0, spec, V0=spec.prior_variance, sigma2=spec.residual_variance or 1.0, prior=prior, start=start, R=correlation_of(R) if spec.refine else None)
         out.warnings.append("without n, effects are on the scale of z scores")
         return out
     with np.errstate(all="ignore"):
         a = (n - 1) / (z * z + n - 2) if spec.z_method == "wald" else np.ones_like(z)
         zt = np.sqrt(a) * z
         if var_y is not None and shat is not None:
-            d2 = var_y * a / shat**2
-            XtX = R * np.sqrt(np.outer(d2, d2))
-            Xty = zt * np.sqrt(a) * var_y / shat
+            scale, Xty = np.sqrt(var_y * a) / shat, zt * np.sqrt(a) * var_y / shat
         else:
-            XtX, Xty = (n - 1) * R, math.sqrt(n - 1) * zt
-    return fit_suff_stat((XtX + XtX.T) / 2, Xty, (n - 1) * (1.0 if var_y is None else var_y), n, spec, prior=prior, start=start)
+            scale, Xty = math.sqrt(n - 1), math.sqrt(n - 1) * zt
+    return _fit_scaled(R, scale, Xty, (n - 1) * (1.0 if var_y is None else var_y), n, spec, prior, start)
 
 
 def fit_suff_stat(XtX, Xty, yty, n, spec: FitSpec | None = None, *, standardize: bool | None = None, prior=None, start: dict | None = None) -> Fit:
     """Cross products. Missing ones of a variable and the response count as 0."""
     spec = spec or FitSpec(estimate_residual_variance=True)
+    if standardize is not None:
+        spec = replace(spec, standardize=standardize)
     Xty = np.asarray(Xty, float)
     XtX = _symmetric(XtX, len(Xty), "the cross products")
     if spec.check_psd and (least := float(np.linalg.eigvalsh(XtX)[0])) < 0 and least <= -spec.r_tol:
         raise ValueError("the cross products aren't positive semidefinite")
-    d = np.sqrt(np.diag(XtX) / (n - 1)) if (spec.standardize if standardize is None else standardize) else np.ones(len(Xty))
-    d = np.where(d == 0, 1.0, d)
-    var_y = yty / (n - 1)
-    scale = 1.0 if spec.residual_model == "nig" else var_y
-    V0 = np.asarray(spec.scaled_prior_variance, float) * scale
-    sigma2 = spec.residual_variance or var_y
-    return _known_n(_fit_all(XtX / np.outer(d, d), Xty / d, yty, n, spec, V0=V0, sigma2=sigma2, prior=prior, start=start, R=correlation_of(XtX)), d)
+    return _fit_scaled(XtX, 1.0, Xty, yty, n, spec, prior, start)
 
 
 def fit_individual(X, y, spec: FitSpec | None = None, *, intercept: bool = True, drop_missing: bool = False, prior=None, start: dict | None = None) -> Fit:
