@@ -101,8 +101,8 @@ def fit_rss_reference(z, R, n: float, spec: FitSpec, *, size: float = math.inf,
     return out, quality | {"bias": noise.bias, "corrected_size": 1 / (1 / size + noise.bias) if noise.bias > 0 or math.isfinite(size) else math.inf}
 
 
-def fit_rss_panels(z, panels: list, n: float, spec: FitSpec, *, rounds: int = 20, prior=None) -> tuple[Fit, np.ndarray]:
-    """Fit to a mixture of panels' correlations: the fit and the panels' weights.
+def fit_rss_panels(z, panels: list, n: float, spec: FitSpec, *, sizes: list[float] | None = None, rounds: int = 20, prior=None) -> tuple[Fit, np.ndarray]:
+    """Fit to a mixture of panels' correlations: the fit and the panels' weights. Panels of limited ``sizes`` add their noise, by the squares of their weights.
 
     Each panel is fitted alone; weights begin at the one of best objective and move towards
     single panels while that raises the likelihood of z given the posterior.
@@ -113,7 +113,8 @@ def fit_rss_panels(z, panels: list, n: float, spec: FitSpec, *, rounds: int = 20
 
     def run(weights: np.ndarray, state: dict | None) -> Fit:
         R = sum(w * x for w, x in zip(weights, panels))
-        return fit((n - 1) * R, math.sqrt(n - 1) * z, n - 1, n, inner, V0=spec.scaled_prior_variance, sigma2=spec.residual_variance or 1.0, prior=prior, start=state)
+        noise = None if sizes is None else ReferenceNoise(n, 1 / float((np.asarray(weights) ** 2 / np.asarray(sizes, float)).sum()))
+        return fit((n - 1) * R, math.sqrt(n - 1) * z, n - 1, n, inner, V0=spec.scaled_prior_variance, sigma2=spec.residual_variance or 1.0, prior=prior, start=state, noise=noise)
 
     unit = np.eye(len(panels))
     each = [run(u, None) for u in unit]

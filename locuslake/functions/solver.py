@@ -619,6 +619,18 @@ def _symmetric(M: np.ndarray, p: int, what: str) -> np.ndarray:
     return M if np.array_equal(M, M.T) else (M + M.T) / 2
 
 
+def _checked(M: np.ndarray, g: np.ndarray, r_tol: float, what: str) -> list[str]:
+    """Raises where a matrix has eigenvalues beyond -r_tol; warns where the cross products don't lie in its span."""
+    d, U = np.linalg.eigh(M)
+    if d[0] < 0 and d[0] <= -r_tol:
+        raise ValueError(f"{what} aren't positive semidefinite")
+    size = float(np.nan_to_num(g) @ np.nan_to_num(g))
+    outside = U[:, d < r_tol].T @ np.nan_to_num(g)
+    if size > 0 and float(outside @ outside) / size > EPS:
+        return ["the cross products have a part that the matrix can't explain"]
+    return []
+
+
 def _fit_scaled(M: np.ndarray, s: np.ndarray | float, Xty, yty: float, n: float, spec: FitSpec, prior, start) -> Fit:
     """A fit to cross products diag(s) M diag(s), on the working scale; neither scaled matrix is formed."""
     diagonal = s * s * np.diag(M)
@@ -667,13 +679,10 @@ def fit_rss(
         z, R, prior = z[keep], R[np.ix_(keep, keep)], None if prior is None else np.asarray(prior, float)[keep]
         shat = None if shat is None else shat[keep]
     spec = replace(spec, max_iter=spec.max_iter or 50, check_prior=True if spec.check_prior is None else spec.check_prior)
-    if spec.check_psd:
-        least = float(np.linalg.eigvalsh(R)[0])
-        if least < 0 and least <= -spec.r_tol:
-            raise ValueError("the correlations aren't positive semidefinite")
+    said = _checked(R, z, spec.r_tol, "the correlations") if spec.check_psd else []
     if n is None:
         out = _fit_all(R, z, 1.0, 2.0, spec, V0=spec.prior_variance, sigma2=spec.residual_variance or 1.0, prior=prior, start=start, R=correlation_of(R) if spec.refine else None)
-        out.warnings.append("without n, effects are on the scale of z scores")
+        out.warnings += [*said, "without n, effects are on the scale of z scores"]
         return out
     with np.errstate(all="ignore"):
         a = (n - 1) / (z * z + n - 2) if spec.z_method == "wald" else np.ones_like(z)
@@ -682,7 +691,9 @@ def fit_rss(
             scale, Xty = np.sqrt(var_y * a) / shat, zt * np.sqrt(a) * var_y / shat
         else:
             scale, Xty = math.sqrt(n - 1), math.sqrt(n - 1) * zt
-    return _fit_scaled(R, scale, Xty, (n - 1) * (1.0 if var_y is None else var_y), n, spec, prior, start)
+    out = _fit_scaled(R, scale, Xty, (n - 1) * (1.0 if var_y is None else var_y), n, spec, prior, start)
+    out.warnings += said
+    return out
 
 
 def fit_suff_stat(XtX, Xty, yty, n, spec: FitSpec | None = None, *, standardize: bool | None = None, prior=None, start: dict | None = None) -> Fit:
@@ -692,9 +703,10 @@ def fit_suff_stat(XtX, Xty, yty, n, spec: FitSpec | None = None, *, standardize:
         spec = replace(spec, standardize=standardize)
     Xty = np.asarray(Xty, float)
     XtX = _symmetric(XtX, len(Xty), "the cross products")
-    if spec.check_psd and (least := float(np.linalg.eigvalsh(XtX)[0])) < 0 and least <= -spec.r_tol:
-        raise ValueError("the cross products aren't positive semidefinite")
-    return _fit_scaled(XtX, 1.0, Xty, yty, n, spec, prior, start)
+    said = _checked(XtX, Xty, spec.r_tol, "the cross products") if spec.check_psd else []
+    out = _fit_scaled(XtX, 1.0, Xty, yty, n, spec, prior, start)
+    out.warnings += said
+    return out
 
 
 def fit_individual(X, y, spec: FitSpec | None = None, *, intercept: bool = True, drop_missing: bool = False, prior=None, start: dict | None = None) -> Fit:

@@ -44,8 +44,8 @@ def fit_regions_reference(assoc: DataFrame, ld_rows: DataFrame, spec: FitSpec, *
     return _columns(assoc, ["idx", "z", "n"], []).groupBy("region_id").cogroup(_ld(ld_rows).groupBy("region_id")).applyInArrow(solve, FITS)
 
 
-def fit_regions_panels(assoc: DataFrame, ld_rows: DataFrame, spec: FitSpec) -> DataFrame:
-    """As ``fit_regions`` with z and n, for several panels: ``ld_rows`` has a column panel_id. ``refinement`` holds the panels' weights as JSON."""
+def fit_regions_panels(assoc: DataFrame, ld_rows: DataFrame, spec: FitSpec, sizes: dict[str, float] | None = None) -> DataFrame:
+    """As ``fit_regions`` with z and n, for several panels: ``ld_rows`` has a column panel_id, ``sizes`` their numbers of samples. ``refinement`` holds the panels' weights as JSON."""
 
     def solve(a: pa.Table, r: pa.Table) -> pa.Table:
         region = (a if a.num_rows else r).column("region_id")[0].as_py()
@@ -57,7 +57,7 @@ def fit_regions_panels(assoc: DataFrame, ld_rows: DataFrame, spec: FitSpec) -> D
         names = sorted(set(ids))
 
         def run(s: FitSpec):
-            out, weights = fit_rss_panels(_z(a), [_matrix(r.filter(pa.array(ids == p)), "i", "r") for p in names], float(_optional(a, "n")[0]), s)
+            out, weights = fit_rss_panels(_z(a), [_matrix(r.filter(pa.array(ids == p)), "i", "r") for p in names], float(_optional(a, "n")[0]), s, sizes=None if sizes is None else [sizes[p] for p in names])
             out.refinement = {"panels": dict(zip(names, weights.tolist()))}
             return out
 

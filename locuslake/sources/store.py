@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,17 @@ def load_analysis(spark: SparkSession, path: str, verify: bool = True) -> tuple[
     return out, manifest["provenance"]
 
 
+def cached(build: Callable[[], DataFrame], inputs: list[DataFrame], options: object, root: str) -> DataFrame:
+    """A table kept under the hash of its inputs' contents and its options' text, built only where it isn't there yet."""
+    spark = inputs[0].sparkSession
+    text = json.dumps([*[content_hash(df) for df in inputs], repr(options)])
+    path = f"{root.rstrip('/')}/{hashlib.sha256(text.encode()).hexdigest()}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text."""
     nested = (ArrayType, MapType, StructType)

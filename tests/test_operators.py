@@ -209,6 +209,18 @@ def test_store(spark, tmp_path, fit):
     assert facts.count() == 2 and facts.select("id").distinct().count() == 2
 
 
+def test_kept_fits_are_not_built_again(spark, tmp_path, table):
+    built = []
+
+    def build():
+        built.append(1)
+        return fitting.fit_regions(moments.marginal_regressions(table).select("region_id", "idx", "z", "n"), table.select("region_id", "i", "r"), FitSpec(L=2))
+
+    for spec in (FitSpec(L=2), FitSpec(L=2), FitSpec(L=3)):
+        out = store.cached(build, [table.select("region_id", "i", "r")], spec, f"file://{tmp_path}")
+    assert len(built) == 2 and out.count() == 2
+
+
 def test_gene_track(spark, tmp_path):
     lines = ['#c', 'chr1\ts\tgene\t100\t200\t.\t+\t.\tgene_id "g1"; gene_name "A";', 'chr1\ts\ttranscript\t100\t150\t.\t+\t.\tgene_id "g1"; transcript_id "t1";', 'chr2\ts\tgene\t100\t200\t.\t+\t.\tgene_id "g2";', "broken line"]
     (tmp_path / "g.gtf").write_text("\n".join(lines) + "\n")
@@ -225,6 +237,7 @@ def test_references_panels_and_continuation(spark, fits, table):
     assert {r.status for r in small} == {"fitted"} and all("effective_rank" in r.refinement for r in small)
     two = ld.withColumn("panel_id", F.lit("p")).unionByName(ld.withColumn("panel_id", F.lit("q")))
     assert reference.fit_regions_panels(assoc, two, FitSpec(L=4)).where("refinement LIKE '%panels%'").count() == 2
+    assert reference.fit_regions_panels(assoc, two, FitSpec(L=4), {"p": 300.0, "q": 300.0}).where("status = 'fitted'").count() == 2
     more = reference.continue_fits(fits, assoc, ld, FitSpec(L=4), "short")
     assert all(r.converged for r in more.collect()) and more.where("setting = 'continued'").count() == 2
     full = {(r.region_id, r.idx): r.pip for r in posterior.pip(fitting.effects(fits)).collect()}

@@ -121,6 +121,7 @@ def test_missing_z_counts_as_zero_and_bad_input_raises():
         fit_rss(np.array([0.001, 0.001]), np.eye(2), 100, FitSpec(L=1, estimate_prior="none", scaled_prior_variance=1.0, residual_variance=1.0))
     with pytest.raises(ValueError, match="semidefinite"):
         fit_rss(np.array([1.0, 0.0]), np.array([[1, 1.5], [1.5, 1]]), 100, FitSpec(check_psd=True))
+    assert any("can't explain" in w for w in fit_suff_stat(np.array([[99.0, 0], [0, 0]]), np.array([9.0, 1.0]), 99, 100, FitSpec(L=1, check_psd=True)).warnings)
     kept = fit_rss(np.array([3.0, 9.0, 0.0]), np.eye(3), 100, ONE, maf=[0.3, 0.2, 0.4], maf_threshold=0.2)
     assert np.allclose(kept.pip(), fit_rss(np.array([3.0, 0.0]), np.eye(2), 100, ONE).pip())
 
