@@ -20,7 +20,8 @@ def read_gene_track(spark: SparkSession, path: str, *, chromosome: str, start: i
     if start > end:
         raise ValueError("the interval ends before it starts")
     lines = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f")).where(F.size("f") == 9)
-    rows = lines.select(F.col("f")[2].alias("feature"), bare_chromosome(F.col("f")[0]).alias("chromosome"), F.expr("try_cast(f[3] AS BIGINT)").alias("left"), F.expr("try_cast(f[4] AS BIGINT)").alias("right"), F.col("f")[6].alias("strand"), F.col("f")[8].alias("attributes"))
+    field = lambda k: F.get("f", F.lit(k))
+    rows = lines.select(field(2).alias("feature"), bare_chromosome(field(0)).alias("chromosome"), field(3).try_cast("long").alias("left"), field(4).try_cast("long").alias("right"), field(6).alias("strand"), field(8).alias("attributes"))
     rows = rows.where(F.col("feature").isin("gene", "transcript") & (F.col("chromosome") == bare_chromosome(F.lit(chromosome))) & (F.col("left") <= end) & (F.col("right") >= start))
     attribute = lambda k: F.nullif(F.regexp_extract("attributes", rf'(?:\A|;)\s*{k} "([^"]*)"', 1), F.lit(""))
     rows = rows.select("feature", *[attribute(k).alias(k) for k in ("gene_id", "gene_name", "transcript_id")], "chromosome", "left", "right", "strand")
