@@ -98,17 +98,21 @@ def _merged(group: pa.Table) -> pa.Table:
     })
 
 
-def region_moments(samples: DataFrame, *, block: int = 1024, limit: int = 16_000_000) -> DataFrame:
+def region_moments(samples: DataFrame, *, block: int = 1024, limit: int = 16_000_000, spread: int | None = None) -> DataFrame:
     """Means, centred cross products and correlations of each region (schema ``MOMENTS``), a row for each variable.
 
     ``samples``: region_id, x (array of the predictors, one length in a region), y (array of the
     outcomes). Samples with a null among them are left out. A partition holds at most about
     ``limit`` matrix entries, and what is shuffled is a block of ``block`` rows of a matrix for
-    each region and partition, whatever the number of samples. The correlation with a variable
+    each region and partition, whatever the number of samples. Where partitions hold samples of
+    more regions than fit that limit, in any order, ``spread`` first brings each region's samples
+    to so many tasks, in order; else samples aren't shuffled. The correlation with a variable
     without variance is 0.
     """
     rows = samples.select(F.col("region_id").cast("string").alias("region_id"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
     rows = rows.where("region_id IS NOT NULL AND forall(x, v -> v IS NOT NULL AND NOT isnan(v)) AND forall(y, v -> v IS NOT NULL AND NOT isnan(v))")
+    if spread:
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(spread))).repartition("region_id", "part").sortWithinPartitions("region_id").drop("part")
     return rows.mapInArrow(_partial(block, limit), _PART).groupBy("region_id", "first").applyInArrow(_merged, MOMENTS)
 
 

@@ -48,6 +48,14 @@ def test_moments(table, region):
     assert np.abs(np.array([r.xtx for r in rows]) - Xc.T @ Xc).max() < 1e-9 and np.abs(np.array([r.xty[0] for r in rows]) - Xc.T @ (y - y.mean())).max() < 1e-9
 
 
+def test_spread_and_small_limits_change_nothing(spark):
+    rng = np.random.default_rng(20)
+    rows = [(f"r{i % 7}", rng.normal(size=4).tolist(), rng.normal(size=1).tolist()) for i in range(210)]
+    samples = spark.createDataFrame(rows, "region_id string, x array<double>, y array<double>")
+    plain, other = ({(r.region_id, r.i): np.r_[r.n, r.mean, r.xtx, r.xty] for r in moments.region_moments(samples, **k).collect()} for k in ({}, {"spread": 2, "limit": 1, "block": 3}))
+    assert plain.keys() == other.keys() and len(plain) == 28 and max(np.abs(plain[k] - other[k]).max() for k in plain) < 1e-9
+
+
 def test_constant_predictors_have_no_slope(spark):
     rows = [("a", [1.0, float(i)], [float(i % 3)]) for i in range(10)]
     got = moments.marginal_regressions(moments.region_moments(spark.createDataFrame(rows, "region_id string, x array<double>, y array<double>"))).orderBy("idx").collect()
