@@ -9,7 +9,7 @@ import numpy as np
 
 from .ld import adjusted
 from .solver import EPS, Fit, FitSpec, _symmetric, fit
-from .special import minimise
+from .special import minimise, normal_quantile
 
 
 class ReferenceNoise:
@@ -18,19 +18,39 @@ class ReferenceNoise:
     The variance of a cross product grows with the signal that the other effects send through
     the correlations: by 1/size of it, and by ``bias`` of it, which is fitted to the residuals
     after each sweep if ``mismatch`` is set. A bias within a tenth of its standard error is 0.
+    With a ``gate``, the bias counts at a variable by the probability that its residual is no
+    noise but signal, against which a region's greatest score is held at that p value.
     """
 
-    def __init__(self, n: float, size: float = math.inf, mismatch: bool = False):
+    def __init__(self, n: float, size: float = math.inf, mismatch: bool = False, gate: float | None = None, top_score: float = 0.0):
         if size <= 1:
             raise ValueError("a reference needs more than one sample")
         self.n, self.size, self.mismatch, self.bias = n, size, mismatch, 0.0
+        self.odds = None if gate is None else 0.5 * (top_score**2 - normal_quantile(1 - gate / 2) ** 2)
         self.last: np.ndarray | None = None
 
+    def _gated(self, residual: np.ndarray, fitted: np.ndarray, sigma2: float) -> np.ndarray:
+        """By variable, the probability of a wide residual beside one of the noise and bias of its place."""
+        z = residual / math.sqrt(self.n - 1)
+        noise = np.maximum(sigma2 + (1 / self.size + self.bias) * fitted * fitted / (self.n - 1), EPS)
+        signal = 1 / (1 + math.exp(min(700.0, max(-700.0, self.odds))))  # prior of a wide residual
+        top = max(1.0, float((z * z).max()), float(noise.max()))
+        narrow = -0.5 * (np.log(noise) + z * z / noise)
+
+        def loss(log_wide: float) -> float:
+            wide = math.exp(log_wide)
+            return -float(np.logaddexp(math.log1p(-min(signal, 1 - 1e-16)) + narrow, math.log(max(signal, 1e-300)) - 0.5 * (log_wide + z * z / wide)).sum())
+
+        wide = top if len(z) < 2 else math.exp(minimise(loss, math.log(max(EPS, 0.01 * float(noise.min()))), math.log(100 * top)))
+        odds = self.odds + narrow + 0.5 * (math.log(wide) + z * z / wide)
+        return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+
     def _signal(self, mean: np.ndarray, fitted: np.ndarray) -> np.ndarray:
         return fitted * fitted / (self.n - 1) + max(float(mean @ fitted), 0.0)
 
-    def factors(self, mean: np.ndarray, fitted: np.ndarray, sigma2: float) -> np.ndarray:
-        self.last = 1 + (1 / self.size + self.bias) * self._signal(mean, fitted) / sigma2
+    def factors(self, mean: np.ndarray, fitted: np.ndarray, sigma2: float, residual: np.ndarray) -> np.ndarray:
+        bias = self.bias * self._gated(residual, fitted, sigma2) if self.odds is not None and self.bias > 0 else self.bias
+        self.last = 1 + (1 / self.size + bias) * self._signal(mean, fitted) / sigma2
         return self.last
 
     def swept(self, residual: np.ndarray, mean: np.ndarray, fitted: np.ndarray, sigma2: float) -> None:
@@ -83,11 +103,11 @@ def reference_quality(R: np.ndarray, size: float, residual: np.ndarray, tol: flo
     return {"effective_rank": rank, "rank_by_size": rank / size, "artifact_share": share, "artifact": bool(share > threshold), "low_eigenvalues": int(low.sum())}
 
 
-def fit_rss_reference(z, R, n: float, spec: FitSpec, *, size: float = math.inf, mismatch: bool = False, prior=None) -> tuple[Fit, dict]:
-    """Fit with a reference of ``size`` samples; the fit, and what is known of the reference's share in it."""
+def fit_rss_reference(z, R, n: float, spec: FitSpec, *, size: float = math.inf, mismatch: bool = False, gate: float | None = None, prior=None) -> tuple[Fit, dict]:
+    """Fit with a reference of ``size`` samples; the fit, and what is known of the reference's share in it. ``gate`` is a p value, see ``ReferenceNoise``."""
     z = adjusted(z, n) if spec.z_method == "wald" else np.nan_to_num(np.asarray(z, float))
     R = _symmetric(R, len(z), "the correlations")
-    noise = ReferenceNoise(n, size, mismatch)
+    noise = ReferenceNoise(n, size, mismatch, gate, float(np.abs(z).max()))
     Q, g = (n - 1) * R, math.sqrt(n - 1) * z
     inner = replace(spec, max_iter=spec.max_iter or 50)
     out = fit(Q, g, n - 1, n, inner, V0=spec.scaled_prior_variance, sigma2=spec.residual_variance or 1.0, prior=prior, noise=noise)

@@ -370,7 +370,7 @@ def fit(Q, g: np.ndarray, yty: float, n: float, spec: FitSpec, *, V0, sigma2: fl
 
     ``start`` may hold alpha, mu, mu2 and V of earlier effects; effects beyond them begin cold.
     ``noise`` says by what factor each variable's sampling variance is larger than the Gram
-    matrix has it: ``noise.factors(mean, fitted, sigma2)`` of the other effects, and
+    matrix has it: ``noise.factors(mean, fitted, sigma2, residual)`` of the other effects, and
     ``noise.swept(residual, mean, fitted, sigma2)`` after each sweep.
     """
     g = np.asarray(g, float)
@@ -428,7 +428,7 @@ def fit(Q, g: np.ndarray, yty: float, n: float, spec: FitSpec, *, V0, sigma2: fl
             f = f - weight[k] * Qm[k]
             r, dk = g - f, d
             if noise is not None:
-                factors = noise.factors((weight[:, None] * m)[np.arange(L) != k].sum(0), f, out.sigma2)
+                factors = noise.factors((weight[:, None] * m)[np.arange(L) != k].sum(0), f, out.sigma2, r)
                 r, dk = r / factors, d / factors
             if spec.mixture or not nig:
                 alpha[k], mu[k], mu2[k], lbf_variable[k], lbf[k], V[k] = single_effect(r, dk, out.sigma2, V[k], log_prior, spec)

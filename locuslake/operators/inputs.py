@@ -70,6 +70,12 @@ def complete_samples(samples: DataFrame) -> DataFrame:
     return samples.where(F.col("y").isNotNull() & ~F.isnan("y"))
 
 
+def densified(samples: DataFrame, variables: int) -> DataFrame:
+    """Samples of a sparse design, whose ``x`` is (indices, values), with ``x`` as an array of all variables; what isn't named is 0."""
+    entries = F.map_from_arrays(F.col("x.indices"), F.col("x.values"))
+    return samples.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(variables - 1)), lambda j: F.coalesce(F.try_element_at(entries, j), F.lit(0.0))))
+
+
 def absolute_order(rows: DataFrame, value: str) -> DataFrame:
     """(…, place): variables of a region by falling absolute value, ties to the smaller index."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("region_id").orderBy(F.abs(value).desc(), "idx")))

@@ -181,6 +181,12 @@ def test_inputs(spark):
     assert [r.idx for r in inputs.path_order(path).orderBy("place").collect()] == [2, 0, 1]
 
 
+def test_sparse_designs(spark):
+    rows = [("a", 0, ([1, 3], [2.0, -1.0])), ("a", 1, ([], [])), ("a", 2, ([0], [4.0]))]
+    df = spark.createDataFrame(rows, "region_id string, sample_id int, x struct<indices:array<int>,values:array<double>>")
+    assert [r.x for r in inputs.densified(df, 4).orderBy("sample_id").collect()] == [[0.0, 2.0, 0.0, -1.0], [0.0] * 4, [4.0, 0.0, 0.0, 0.0]]
+
+
 def test_diagnostics_and_draws(spark, fits, table):
     assoc = moments.marginal_regressions(table).select("region_id", "idx", "z", "n")
     counts = {r.region_id: r.total for r in diagnostics.status_counts(diagnostics.ld_diagnostics(assoc, table.select("region_id", "i", "r"))).collect()}

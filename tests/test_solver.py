@@ -243,6 +243,8 @@ def test_references_of_limited_size_weaken_secondary_evidence():
     _, wrong = panels.fit_rss_reference(z, S, 2000, FitSpec(L=3), mismatch=True)
     _, right = panels.fit_rss_reference(z, R, 2000, FitSpec(L=3), mismatch=True)
     assert wrong["bias"] >= right["bias"]
+    gated, quality = panels.fit_rss_reference(z, S, 2000, FitSpec(L=3), mismatch=True, gate=5e-8)
+    assert np.isfinite(gated.alpha).all() and quality["bias"] >= 0
 
 
 def test_panels_are_weighted_by_what_they_explain():
