@@ -430,11 +430,14 @@ def fit(Q, g: np.ndarray, yty: float, n: float, spec: FitSpec, *, V0, sigma2: fl
             if noise is not None:
                 factors = noise.factors((weight[:, None] * m)[np.arange(L) != k].sum(0), f, out.sigma2, r)
                 r, dk = r / factors, d / factors
-            if spec.mixture or not nig:
-                alpha[k], mu[k], mu2[k], lbf_variable[k], lbf[k], V[k] = single_effect(r, dk, out.sigma2, V[k], log_prior, spec)
-            else:
+            if nig:
                 rest = (weight[:, None] * alpha * mu)[np.arange(L) != k].sum(0)
                 yy = max(yty - 2 * rest @ g + rest @ f, EPS)
+            if spec.mixture or not nig:  # a mixture keeps its Gaussian form under an inverse-gamma residual
+                alpha[k], mu[k], mu2[k], lbf_variable[k], lbf[k], V[k] = single_effect(r, dk, out.sigma2, V[k], log_prior, spec)
+                if nig:
+                    marginal[k] = lbf[k] + nig.null_loglik(yy)
+            else:
                 alpha[k], mu[k], mu2[k], lbf_variable[k], lbf[k], V[k], rv[k], marginal[k], kl[k] = nig.effect(r, d, yy, V[k], log_prior, prior)
             m[k] = alpha[k] * mu[k]
             if not nig:

@@ -75,7 +75,7 @@ def test_stopping_rules(data, criterion):
     assert not short.converged and short.stop_reason == "iteration_limit"
 
 
-@pytest.mark.parametrize("spec", [FitSpec(L=4, residual_model="nig"), FitSpec(L=4, slot=SlotPrior()), FitSpec(L=4, slot=SlotPrior("gamma_poisson", expected=2, batch=True)), FitSpec(L=12, greedy_step=3), FitSpec(L=4, refine=True), FitSpec(L=4, mixture=((0.1, 0.5), (0.5, 0.5)))])
+@pytest.mark.parametrize("spec", [FitSpec(L=4, residual_model="nig"), FitSpec(L=4, slot=SlotPrior()), FitSpec(L=4, slot=SlotPrior("gamma_poisson", expected=2, batch=True)), FitSpec(L=12, greedy_step=3), FitSpec(L=4, refine=True), FitSpec(L=4, mixture=((0.1, 0.5), (0.5, 0.5))), FitSpec(L=4, mixture=((0.1, 0.5), (0.5, 0.5)), residual_model="nig")])
 def test_models_find_the_effects(data, spec):
     out = fit_individual(*data, spec)
     assert out.pip()[23] > 0.99 and out.pip()[7] + out.pip()[8] > 0.95 and out.pip()[[0, 1, 2]].max() < 0.2
