@@ -4,11 +4,12 @@ A document is the multiset of its runs of five words. Every run has weight regio
 each region darts arrive at hashed times, ranks and coordinates, the same in every document
 that covers the region. A signature keeps the earliest dart of each coordinate, so two
 documents agree in a coordinate with the probability of their weighted Jaccard similarity.
-Signatures are joined by bands. In a bucket, members are compared with a few centres. Where
-the others of a bucket aren't of one class then, links between classes are looked for by
-their rarest runs, of which similar documents share one: all members of different classes
-that share such a run are compared, except where lengths and the place of the run rule the
-similarity out. Comparisons are exact.
+Signatures are joined by bands. In a bucket, all members are compared with the least one, and
+where they are of several classes then, those of other classes with a few more. Where the rest
+of a bucket isn't of one class yet, links between classes are looked for by their rarest runs,
+of which similar documents share one: all members of different classes that share such a run
+are compared, except where lengths and the place of the run rule the similarity out.
+Comparisons are exact.
 """
 
 from __future__ import annotations
