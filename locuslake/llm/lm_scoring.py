@@ -41,6 +41,8 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 END = 50256
 STRIDE, CONTEXT = 16, 32
+#: Bound of the entries of the attention's tables; 16 products of two of them stay below the logarithm of the largest single-precision number.
+LIMIT = np.float32(2.2)
 
 
 class Subwords:
@@ -239,17 +241,15 @@ class Trainer:
         self.second = [np.zeros_like(a) for a in model.arrays()[1:]]
 
     def batch(self, inputs: np.ndarray, targets: np.ndarray) -> float:
-        """One step on a batch of windows, those of a text in order; its mean loss a token. Logits stay far below where exponentials overflow, so no maximum is taken."""
+        """One step on a batch of windows, those of a text in order; its mean loss a token. Tables are held within bounds (``LIMIT``) where no exponential overflows, so no maximum is taken."""
         m = self.model
         n, width, b = len(m.direct) - 1, m.key.shape[1], len(inputs)
         keys = np.where(inputs >= 0, inputs, n).astype(np.uint16)
         cur, all_keys = keys[:, CONTEXT - STRIDE :].ravel(), keys.ravel()
         q, k, v = (x.take(at, 0).reshape(b, -1, width) for x, at in ((m.query, cur), (m.key, all_keys), (m.value, all_keys)))
         a = q @ k.transpose(0, 2, 1)
-        a += m.bias[_REL]
-        np.minimum(a, 60, out=a)
         np.exp(a, out=a)
-        a *= _CAUSAL.astype(np.float32)
+        a *= np.where(_CAUSAL, np.exp(m.bias[_REL]), np.float32(0))
         if (inputs < 0).any():
             a *= (inputs >= 0).astype(np.float32)[:, None, :]
         a /= (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32) + np.float32(1e-30)).reshape(b, STRIDE, 1)
@@ -257,7 +257,6 @@ class Trainer:
         flat_o = o.reshape(-1, width)
         p = flat_o @ m.out
         p += m.direct.take(cur, 0)
-        np.minimum(p, 60, out=p)
         np.exp(p, out=p)
         p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
         at_target = np.arange(targets.size) * p.shape[1] + self.groups.of.take(np.maximum(targets, 0)).ravel()
@@ -266,9 +265,11 @@ class Trainer:
         hit = flat_p.take(at_target)
         loss = -float(np.log(hit[live] + 1e-30).mean()) if live.any() else 0.0
         flat_p[at_target] = hit - 1
-        p *= (live / max(1, live.sum())).astype(np.float32)[:, None]
-        g_out = flat_o.T @ p
-        g_o = (p @ m.out.T).reshape(o.shape)
+        if not live.all():
+            p[~live] = 0
+        scale = np.float32(1 / max(1, live.sum()))
+        g_out = (flat_o * scale).T @ p
+        g_o = (p @ (m.out.T * scale)).reshape(o.shape)
         g_s = g_o @ v.transpose(0, 2, 1)
         g_s -= np.einsum("ijk,ijk->ij", g_s, a)[:, :, None]
         g_s *= a
@@ -302,6 +303,7 @@ class Trainer:
             np.divide(f1, d, out=d)
             d *= scale
             x -= d
+            np.clip(x, -LIMIT, LIMIT, out=x)
 
 
 class LanguageModel:
@@ -335,7 +337,6 @@ class LanguageModel:
             k, cur = keys[at : at + step].ravel(), current[at : at + step].ravel()
             b, m = len(k) // CONTEXT, len(cur)
             a = self.query.take(cur, 0).reshape(b, STRIDE, width) @ self.key.take(k, 0).reshape(b, CONTEXT, width).transpose(0, 2, 1)
-            np.minimum(a, 60, out=a)
             np.exp(a, out=a)
             a *= self.near
             if not whole[at : at + step].all():
@@ -489,23 +490,41 @@ def _code(path: str):
     return run
 
 
-_CHUNK = "docs binary, known_id binary, train binary, length binary, at binary, c binary, size binary, ids binary"
+_CHUNK = "docs binary, known_id binary, train binary, length binary, at binary, c binary, size binary, ids binary, pairs binary"
 
 
-def _joined(docs: pa.Table, coded: pa.Table) -> pa.Table:
-    """A chunk's documents with the counts and ids of its words, by word number."""
+def _joined(classes, ends: int):
+    """A chunk's documents with the counts and ids of its words, by word number, and the class pairs of its training documents."""
     names = [x.split()[0] for x in _CHUNK.split(", ")]
-    if not docs.num_rows:
-        return pa.table([pa.array([], pa.binary())] * len(names), names=names)
-    coded = coded.sort_by("bucket")
-    join = lambda name, kind: np.concatenate([_unpack(x, kind) for x in coded.column(name).to_pylist()] or [np.zeros(0, kind)])
-    order = np.argsort(_unpack(docs.column("buckets")[0].as_py(), np.uint32), kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    c, size, ids = join("c", np.float32), join("size", np.int32).astype(np.int64), join("ids", np.uint16)
-    moved = _flatten(place, np.cumsum(size) - size, size, ids)
-    same = [docs.column(k)[0].as_py() for k in names[:5]]
-    return pa.table([pa.array([x], pa.binary()) for x in [*same, _pack(c[place]), _pack(size[place].astype(np.int32)), _pack(moved)]], names=names)
+
+    def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table([pa.array([], pa.binary())] * len(names), names=names)
+        coded = coded.sort_by("bucket")
+        join = lambda name, kind: np.concatenate([_unpack(x, kind) for x in coded.column(name).to_pylist()] or [np.zeros(0, kind)])
+        order = np.argsort(_unpack(docs.column("buckets")[0].as_py(), np.uint32), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        c, size, ids = join("c", np.float32), join("size", np.int32).astype(np.int64), join("ids", np.uint16)
+        moved = _flatten(place, np.cumsum(size) - size, size, ids)
+        row = {k: docs.column(k)[0].as_py() for k in names[:5]} | {"c": _pack(c[place]), "size": _pack(size[place].astype(np.int32)), "ids": _pack(moved)}
+        row["pairs"] = _pack(_class_pairs(Chunk(row, ends), classes.value))
+        return pa.table([pa.array([row[k]], pa.binary()) for k in names], names=names)
+
+    return run
+
+
+def _class_pairs(chunk: Chunk, classes: Classes, tokens: int = 1_000_000) -> np.ndarray:
+    """Number of times that a class follows a class (or begins a document) in a chunk's training documents."""
+    n = classes.n
+    found = np.zeros((n + 1) * n)
+    for documents in chunk.batches(np.flatnonzero(chunk.train), tokens):
+        _, ids, length = chunk.tokens(documents)
+        c = classes.of[ids]
+        before = np.concatenate([[n], c[:-1]])
+        before[np.cumsum(length) - length] = n
+        found += np.bincount(before.astype(np.int64) * n + c, minlength=len(found))
+    return found
 
 
 class Chunk:
@@ -560,7 +579,7 @@ def _tree_sum(rows: DataFrame) -> np.ndarray:
 
 
 def train(chunks: DataFrame, classes: Classes, ends: int, *, rounds: int = 3, batch: int = 256, tokens: int = 60_000) -> LanguageModel:
-    """Counts class pairs in all training documents, then learns from each of them once.
+    """Starts from the class pairs of all training documents, then learns from each of them once.
 
     Each partition trains on its own documents, a ``rounds``-th of them in every round, and the
     weights that partitions reach are averaged, by tokens, after each round.
@@ -574,18 +593,9 @@ def train(chunks: DataFrame, classes: Classes, ends: int, *, rounds: int = 3, ba
     def row(data: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([_pack(data)], pa.binary())], names=["part", "data"])
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((n + 1) * n)
-        for chunk in _chunks(batches, ends):
-            for documents in chunk.batches(np.flatnonzero(chunk.train), tokens * 16):
-                _, ids, length = chunk.tokens(documents)
-                c = shared.value.of[ids]
-                before = np.concatenate([[n], c[:-1]])
-                before[np.cumsum(length) - length] = n
-                found += np.bincount(before.astype(np.int64) * n + c, minlength=len(found))
-        yield row(found)
-
-    counts = _tree_sum(chunks.mapInArrow(pairs, "part int, data binary")).reshape(n + 1, n)
+    counted = chunks.select(F.pmod(F.xxhash64("pairs"), F.lit(1 << 20)).cast("int").alias("part"), F.col("pairs").alias("data"))
+    counts = _tree_sum(counted).reshape(n + 1, n)
+    chunks = chunks.drop("pairs")
     groups = Groups.by_context(counts, classes.beginning)
     model = Attention.initial(counts, groups)
     for k in range(rounds):
@@ -677,10 +687,10 @@ def score(
     id_counts[END] = size.train
     classes = Classes.by_frequency(id_counts, subwords(path).begins)
     of_chunk = dealt.where("bucket < 0").drop("bucket", "words", "sizes", "n").groupBy("chunk").cogroup(coded.where("chunk >= 0").groupBy("chunk"))
-    chunks = scratch.save(of_chunk.applyInArrow(_joined, _CHUNK), "chunks")
+    chunks = scratch.save(of_chunk.applyInArrow(_joined(spark.sparkContext.broadcast(classes), size.train), _CHUNK), "chunks")
     scratch.drop("dealt", "coded")
     lm = spark.sparkContext.broadcast(train(chunks, classes, size.train, rounds=rounds))
-    return chunks.mapInArrow(_score(lm, size.train, total, distinct, mix), SCHEMA)
+    return chunks.drop("pairs").mapInArrow(_score(lm, size.train, total, distinct, mix), SCHEMA)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
