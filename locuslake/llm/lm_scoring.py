@@ -593,7 +593,7 @@ def train(chunks: DataFrame, classes: Classes, ends: int, *, rounds: int = 3, ba
     def row(data: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([_pack(data)], pa.binary())], names=["part", "data"])
 
-    counted = chunks.select(F.pmod(F.xxhash64("pairs"), F.lit(1 << 20)).cast("int").alias("part"), F.col("pairs").alias("data"))
+    counted = chunks.select(F.spark_partition_id().alias("part"), F.col("pairs").alias("data"))
     counts = _tree_sum(counted).reshape(n + 1, n)
     chunks = chunks.drop("pairs")
     groups = Groups.by_context(counts, classes.beginning)
