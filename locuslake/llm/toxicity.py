@@ -19,10 +19,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_fold, table, text_bytes
+from .common import Scratch, in_fold, table, text_bytes
 from .labelled import training_rows
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -39,6 +40,7 @@ _REPEATED = re.compile(r"(.)\1\1")
 _RUNS = re.compile(r"(.)\1\1+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _GAP = re.compile(r"[\x20\x09-\x0D]{2,}")
+_OUTER = ".,;:?\"'()[]{}!*#%&~`-_|<>=/\\"
 _BETWEEN = re.compile(r"(?:[^\w@$!|+]|_)+")
 
 
@@ -50,17 +52,15 @@ class CharacterModel:
     size: int = 64
 
     @staticmethod
-    def of(words: Counter) -> CharacterModel:
-        counts = [Counter() for _ in range(ORDER)]
-        totals = [Counter() for _ in range(ORDER)]
-        for word, n in words.items():
-            padded = "^" * (ORDER - 1) + word + "\n"
-            for i in range(ORDER - 1, len(padded)):
-                for k in range(ORDER):
-                    counts[k][padded[i - k : i + 1]] += n
-                    totals[k][padded[i - k : i]] += n
-        model = CharacterModel([dict(c) for c in counts], len(counts[0]) + 1)
-        model.totals = [dict(t) for t in totals]
+    def of(grams: Iterable[tuple[str, int]]) -> CharacterModel:
+        """From the runs of ``ORDER`` characters, each with its count; shorter runs are their ends."""
+        model = CharacterModel()
+        for gram, n in grams:
+            for k in range(ORDER):
+                own, before = gram[ORDER - 1 - k :], gram[ORDER - 1 - k : -1]
+                model.counts[k][own] = model.counts[k].get(own, 0) + n
+                model.totals[k][before] = model.totals[k].get(before, 0) + n
+        model.size = len(model.counts[0]) + 1
         return model
 
     def __post_init__(self):
@@ -157,7 +157,7 @@ def _word_forms(raw: str, model: CharacterModel) -> list[str]:
     out = [bare] if bare else []
     if (bare and not bare.isalpha()) or _REPEATED.search(bare):
         out.append(decode(bare, model))
-    outer = raw.strip(".,;:?\"'()[]{}!*#%&~`-_|<>=/\\") if not raw.isalpha() else bare
+    outer = raw.strip(_OUTER) if not raw.isalpha() else bare
     if outer != bare and len(outer) > 2 and any(c.isalpha() for c in outer) and outer[0] + outer[-1] != bare[:1] + bare[-1:]:
         out.append(decode(outer, model))
     return out
@@ -172,6 +172,9 @@ def forms(word: bytes, model: CharacterModel, limit: int = 40) -> list[tuple[str
     each as often as the reading that has it most often.
     """
     raw = word.decode("utf-8", "replace").lower()
+    outer = raw.strip(_OUTER)
+    if outer.isalpha() and len(raw) <= limit and not _REPEATED.search(outer):
+        return [(outer,)]  # most words: the steps below would give the same
     run = _SPACE.search(raw)
     if not run and len(raw) <= limit:
         out = _word_forms(raw, model)
@@ -194,6 +197,11 @@ def evidence(form: str) -> list[str]:
     return ["=" + form] + ["^" + form[:k] for k in range(4, min(len(form), 9) + 1)]
 
 
+def stems(features: Iterable[str]) -> frozenset[str]:
+    """First four letters of the features; a word that begins otherwise has none of them."""
+    return frozenset(f[1:5] for f in features)
+
+
 POOLED = 8
 
 
@@ -214,7 +222,12 @@ class ToxicityModel:
     bias: float
     pool: np.ndarray
 
+    def __post_init__(self):
+        self.stems = stems(self.weights)
+
     def word_score(self, form: str) -> float:
+        if form[:4] not in self.stems:
+            return 0.0
         return max((self.weights.get(f, 0.0) for f in evidence(form)), default=0.0)
 
 
@@ -245,87 +258,236 @@ class Scorer:
         return self.model.bias + float(self.model.pool @ pooled(scores))
 
 
-def _weights(n1: dict, n0: dict, positives: int, negatives: int, feature: str, less1: int = 0, less0: int = 0) -> float:
-    """Shrunk log odds of a feature by documents that have it; 0 unless three or more documents speak for it."""
-    a, b = n1.get(feature, 0) - less1, n0.get(feature, 0) - less0
+def _weight(a: int, b: int, positives: int, negatives: int) -> float:
+    """Shrunk log odds of a feature by the documents that have it, a of them positive; 0 unless two or more speak for it."""
     if a < 2:
         return 0.0
     return max(0.0, math.log((a + 0.1) / (positives + 1)) - math.log((b + 0.5) / (negatives + 1)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> ToxicityModel:
-    """Character model, evidence by document frequency, and logistic pooling fitted on left-one-out evidence."""
-    counts = Counter()
-    for t in texts:
-        counts.update(t.split())
-    spelled = Counter()
-    for w, n in counts.items():
+def _grams(words: Counter) -> Counter:
+    """Runs of ``ORDER`` characters, each ending in the word or at its end, of words that are letters alone."""
+    spelled, out = Counter(), Counter()
+    for w, n in words.items():
         bare = plain(w.decode("utf-8", "replace"))
         if bare.isalpha() and not _REPEATED.search(bare):
             spelled[bare] += n
-    characters = CharacterModel.of(spelled)
-    del counts, spelled
-    # Forms are numbered, and documents held as numbers, so that the driver needs a few bytes a word.
-    number: dict[str, int] = {}
-    cache: dict[bytes, tuple] = {}
-    documents = []
-    for t in texts:
-        read = t.split() + joined_runs(t)
-        for w in read:
-            if w not in cache:
-                cache[w] = tuple(tuple(number.setdefault(x, len(number)) for x in g) for g in forms(w, characters))
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(cache[w]) for w in read), np.int32)
-        groups = np.fromiter((len(g) for w in read for g in cache[w]), np.int32)
-        documents.append((flat, groups))
-    del cache
-    spelling = list(number)
-    del number
-    n1, n0 = Counter(), Counter()
-    for (flat, _), y in zip(documents, labels):
-        if y:
-            n1.update({f for x in np.unique(flat) for f in evidence(spelling[x])})
-    n1 = {f: n for f, n in n1.items() if n > 1}  # others weigh nothing
-    features = [tuple(f for f in evidence(x) if f in n1) for x in spelling]
-    for (flat, _), y in zip(documents, labels):
-        if not y:
-            n0.update({f for x in np.unique(flat) for f in features[x]})
-    positives, negatives = int(labels.sum()), int(len(labels) - labels.sum())
-    weights = {f: w for f in n1 if (w := _weights(n1, n0, positives, negatives, f)) > 1}
-    if not positives or not negatives:
-        mean = (positives + 0.05) / (len(labels) + 1)  # without labels nothing is taken for toxic
-        return ToxicityModel(characters, {}, math.log(mean / (1 - mean)), np.zeros(POOLED))
-    rows = []
-    for (flat, groups), y in zip(documents, labels):
-        used, place = np.unique(flat, return_inverse=True)
-        left = np.array([max((_weights(n1, n0, positives, negatives, f, int(y == 1), int(y == 0)) for f in features[x]), default=0.0) for x in used])
-        s = np.zeros(len(groups))
-        if len(flat):
-            start = np.cumsum(groups) - groups
-            some = groups > 0
-            s[some] = np.maximum.reduceat(left[place], start[some])
-        s[s <= 1] = 0.0
-        rows.append(pooled(s))
-    del features, documents
-    characters._seen.clear()
-    x = np.array(rows)
-    w = np.zeros(POOLED + 1)
-    x1 = np.concatenate([x, np.ones((len(x), 1))], 1)
-    ridge = np.full(POOLED + 1, 1.0)
-    ridge[-1] = 1e-6
-    for _ in range(50):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        grad = x1.T @ (p - labels) + ridge * w
-        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(ridge), grad)
-        w -= step
+    for word, n in spelled.items():
+        padded = "^" * (ORDER - 1) + word + "\n"
+        for i in range(len(word) + 1):
+            out[padded[i : i + ORDER]] += n
+    return out
+
+
+def _characters(rows: DataFrame, limit: int = 400_000) -> CharacterModel:
+    """Character model of all texts: each task counts its own, and counts are added up."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, grams = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
+            grams.clear()
+            return batch
+
+        for batch in batches:
+            for text in text_bytes(batch.column("text")):
+                words.update(text.split())
+                if len(words) > limit:
+                    grams.update(_grams(words))
+                    words.clear()
+            if len(grams) > limit:
+                yield out()
+        grams.update(_grams(words))
+        yield out()
+
+    found = rows.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return CharacterModel.of(zip(found.column("gram").to_pylist(), found.column("n").to_pylist()))
+
+
+def _read(rows: DataFrame, characters: CharacterModel, limit: int = 400_000) -> DataFrame:
+    """(label, n, forms, counts): of each text the number of words that its words and runs may hold, and the forms of these, one to a line, each with its count; a word may come more than once."""
+    shared = rows.sparkSession.sparkContext.broadcast(characters)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = [""]
+        several: dict[int, list[int]] = {}
+
+        class Places(dict):
+            """By word the place of its forms; below 0 where a word holds none or several."""
+
+            def __missing__(self, word: bytes) -> int:
+                found = ["\n".join(g) for g in forms(word, shared.value)]
+                at = list(range(len(held), len(held) + len(found)))
+                held.extend(found)
+                if len(at) != 1 or not found[0]:
+                    several[-len(self) - 1] = [k if x else 0 for k, x in zip(at, found)]
+                    at = [-len(self) - 1]
+                self[word] = at[0]
+                return at[0]
+
+        places = Places()
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch, n, ends, at, times = whole.slice(first, 500), [], [0], [], []
+                if len(held) > limit:
+                    held[:] = [""]
+                    several.clear()
+                    places.clear()
+                for text in text_bytes(batch.column("text")):
+                    words = text.split() + joined_runs(text)
+                    used, k = np.unique(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), return_counts=True)
+                    odd = int(np.searchsorted(used, 0))
+                    more = [(x, c) for w, c in zip(used[:odd].tolist(), k[:odd].tolist()) for x in several[w]]
+                    n.append(int(k[odd:].sum()) + sum(c for _, c in more))
+                    more = [m for m in more if m[0]]
+                    at += [used[odd:], np.array([x for x, _ in more], np.int64)]
+                    times += [k[odd:], np.array([c for _, c in more], np.int64)]
+                    ends.append(ends[-1] + len(used) - odd + len(more))
+                ends, found = pa.array(ends, pa.int32()), pa.array(held, pa.string()).take(pa.array(np.concatenate(at)))
+                lists = [pa.ListArray.from_arrays(ends, found), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(times), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(n, pa.int32()), *lists], names=["label", "n", "forms", "counts"])
+
+    return rows.mapInArrow(run, "label int, n int, forms array<string>, counts array<int>")
+
+
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 2500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what is made of one stays small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def _numbered(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Ends of the lists from 0 on, their values as numbers, and the values by number."""
+    coded = lists.flatten().dictionary_encode()
+    sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _features(groups: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As ``_numbered``: the evidence of all forms of each group."""
+    split = pc.split_pattern(groups, "\n")
+    form, group = split.flatten(), pc.list_parent_indices(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.utf8_length(form)
+    text, owner = [pc.binary_join_element_wise("=", form, "")], [group]
+    for k in range(4, 10):
+        long = pc.greater_equal(size, k)
+        text.append(pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(form.filter(long), 0, k), ""))
+        owner.append(group[long.to_numpy(zero_copy_only=False)])
+    coded, owner = pa.concat_arrays(text).dictionary_encode(), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(groups)))])
+    return ends, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[order], coded.dictionary
+
+
+def _frequencies(read: DataFrame) -> DataFrame:
+    """(feature, n1, n0): the number of texts of either label that have a feature."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            ends, at, groups = _numbered(batch.column("forms"))
+            if not len(groups):
+                continue
+            starts, features, names = _features(groups)
+            labels = batch.column("label").to_numpy(zero_copy_only=False)
+            n = np.zeros((2, len(names)), np.int64)
+            for first in range(0, batch.num_rows, 500):
+                last = min(first + 500, batch.num_rows)
+                own = at[ends[first] : ends[last]]
+                doc = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1]))
+                many = starts[own + 1] - starts[own]
+                place = np.repeat(starts[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                pairs = np.unique(np.repeat(doc, many) * len(names) + features[place])
+                doc, have = np.divmod(pairs, len(names))
+                for y in (0, 1):
+                    n[y] += np.bincount(have[labels[doc] == y], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([names, pa.array(n[1]), pa.array(n[0])], names=["feature", "n1", "n0"])
+
+    return read.select("label", "forms").mapInArrow(run, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def _left_out(read: DataFrame, counts: dict[str, tuple[int, int]], positives: int, negatives: int) -> DataFrame:
+    """(label, x): what each text pools when its own part in the counts is left out."""
+    shared = read.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        begun = stems(known)
+
+        def value(group: str, y: int) -> float:
+            best = max((_weight(known[f][0] - y, known[f][1] - (1 - y), positives, negatives) for x in group.split("\n") if x[:4] in begun for f in evidence(x) if f in known), default=0.0)
+            return best if best > 1 else 0.0
+
+        for batch in _slices(batches):
+            ends, at, groups = _numbered(batch.column("forms"))
+            groups, times = groups.to_pylist(), batch.column("counts").flatten().to_numpy(zero_copy_only=False)
+            labels, sizes = batch.column("label").to_numpy(zero_copy_only=False), batch.column("n").to_pylist()
+            values = np.zeros((2, len(groups)))
+            for y in (0, 1):
+                for g in np.unique(at[np.repeat(labels == y, np.diff(ends))]).tolist():
+                    values[y, g] = value(groups[g], y)
+            rows = []
+            for k, (y, n) in enumerate(zip(labels, sizes)):
+                own = slice(ends[k], ends[k + 1])
+                some = np.repeat(values[y, at[own]], times[own])
+                some, s = some[some > 0], np.zeros(n)
+                s[: len(some)] = some
+                rows.append(pooled(s))
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+
+    return read.mapInArrow(run, "label int, x array<double>")
+
+
+def _logistic(rows: DataFrame, ridge: np.ndarray) -> np.ndarray:
+    """Weights of x and, last, of a constant by Newton's method; the sums over all rows of each step are made on the executors."""
+    w = np.zeros(len(ridge))
+    for _ in range(50):
+
+        def run(batches: Iterable[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            grad, curve = np.zeros(len(w)), np.zeros((len(w), len(w)))
+            for batch in batches:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                x1 = np.concatenate([x, np.ones((len(x), 1))], 1)
+                p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+                grad += x1.T @ (p - batch.column("label").to_numpy(zero_copy_only=False))
+                curve += (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([grad, curve.ravel()])], pa.list_(pa.float64()))], names=["sums"])
+
+        sums = np.sum(rows.mapInArrow(run, "sums array<double>").toArrow().column("sums").to_pylist(), 0)
+        step = np.linalg.solve(sums[len(w) :].reshape(len(w), -1) + np.diag(ridge), sums[: len(w)] + ridge * w)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return ToxicityModel(characters, weights, float(w[-1]), w[:-1])
+    return w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 4, held_out: int = 2, max_labelled: int = 6_000) -> ToxicityModel:
-    """Fits on at most ``max_labelled`` labelled rows outside the held-out fold."""
-    got = training_rows(docs, labels, label=label, modulus=modulus, held_out=held_out, limit=max_labelled).toPandas().sort_values("doc_id")
-    return fit([t.encode() for t in got.text], got.label.to_numpy(float))
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 4, held_out: int = 2) -> ToxicityModel:
+    """Fits on all labelled rows outside the held-out fold: character model, evidence by document frequency, and logistic pooling of left-one-out evidence.
+
+    Texts stay on the executors. The driver gets counts of runs of characters, the features that
+    speak for the label and, for each step of the last fit, sums.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(training_rows(docs, labels, label=label, modulus=modulus, held_out=held_out), "rows")
+    characters = _characters(rows)
+    read = scratch.save(_read(rows, characters), "read")
+    scratch.drop("rows")
+    by_label = {r["label"]: r["count"] for r in read.groupBy("label").count().collect()}
+    positives, negatives = by_label.get(1, 0), by_label.get(0, 0)
+    if not positives or not negatives:
+        scratch.drop("read")
+        mean = (positives + 0.05) / (positives + negatives + 1)  # without labels nothing is taken for toxic
+        return ToxicityModel(characters, {}, math.log(mean / (1 - mean)), np.zeros(POOLED))
+    most = F.log((F.col("n1") + 0.1) / (positives + 1)) - F.log((F.greatest("n0", F.lit(1)) - 0.5) / (negatives + 1))  # of a text that is left out
+    found = _frequencies(read).where((F.col("n1") > 1) & (most > 0.99)).toArrow()
+    counts = dict(zip(found.column("feature").to_pylist(), zip(found.column("n1").to_pylist(), found.column("n0").to_pylist())))
+    weights = {f: w for f, (a, b) in counts.items() if (w := _weight(a, b, positives, negatives)) > 1}
+    left = scratch.save(_left_out(read, counts, positives, negatives), "left")
+    scratch.drop("read")
+    w = _logistic(left, np.array([1.0] * POOLED + [1e-6]))
+    scratch.drop("left")
+    return ToxicityModel(characters, weights, float(w[-1]), w[:-1])
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

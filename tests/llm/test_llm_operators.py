@@ -200,6 +200,17 @@ def test_toxicity_held_out_and_disguised(spark):
     assert plain > clean + 2 and hidden > clean + 2
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    truth = {i: int(i % 9 == 0) for i in range(9000)}
+    docs = spark.createDataFrame([(i, f"plain words here {'mean zork' if y else 'kind'}" + (" zork" if i % 50 == 0 else "")) for i, y in truth.items()], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int"))
+    rows = [i for i in truth if zlib.crc32(str(i).encode()) % 4 != 2]
+    a, b = (sum(truth[i] == y for i in rows) for y in (1, 0))
+    n0 = sum(not truth[i] and i % 50 == 0 for i in rows)
+    assert len(rows) > 6000 and model.characters.counts[3]["zork"] == a + sum(i % 50 == 0 for i in rows)
+    assert model.weights["=zork"] == pytest.approx(np.log((a + 0.1) / (a + 1)) - np.log((n0 + 0.5) / (b + 1)))
+
+
 def test_toxicity_reads_all_of_long_words_and_runs(spark):
     docs, labels, _ = _labelled(spark, "toxic")
     scorer = toxicity.Scorer(toxicity.train(docs, labels))
