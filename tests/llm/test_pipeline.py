@@ -188,3 +188,20 @@ def test_main_text_of_all_pages(spark):
         expected[r.page_id] = "\n".join(x for x in lines if x)
     got = {r.page_id: r.text for r in html_extraction.extract_main_text(pages).collect()}
     assert got == expected
+
+
+def test_toxicity_stage_learns_from_all_labels(spark, tmp_path, monkeypatch):
+    from locuslake.llm import labelled
+
+    ids = spark.range(9000).selectExpr("id AS doc_id", "CAST(id % 9 = 0 AS INT) AS toxic", "'' AS text")
+    fold = {"label": "toxic", "modulus": 4, "held_out": 2}
+    every = {r.doc_id for r in labelled.training_rows(ids, ids, **fold).collect()}
+    few = {r.doc_id for r in labelled.training_rows(ids, ids, **fold, limit=6000).collect()}
+    assert every == {i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2} and len(few) == 6000 and few < every
+    monkeypatch.setattr(labelled, "BROADCAST", 0)
+    assert {r.doc_id for r in labelled.training_rows(ids, ids, **fold).collect()} == every
+    ids.select("doc_id", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(i, "plain words " + ("kind" if i % 9 else "mean" if i in few else "zork")) for i in range(9000)]
+    docs = spark.createDataFrame([*rows, (9001, "plain words zork"), (9002, "plain words kind")], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).where("doc_id > 9000").collect()}
+    assert kept == {9002}
