@@ -304,3 +304,21 @@ def test_alternative_inputs_signals_and_views(spark, table):
     edges = comparison.signal_edges(both, sets, table)
     seen = comparison.seen_from(edges, "turned")
     assert seen.count() == edges.count() == 2 and {r.setting_a for r in seen.collect()} == {"turned"}
+
+
+def test_many_narrow_regions_of_a_batch_take_no_loop():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    region, x, y = rng.integers(0, 5000, 10_000), rng.normal(size=(10_000, 3)), rng.normal(size=(10_000, 1))
+    batch = pa.RecordBatch.from_arrays([pa.array(region.astype(str)), pa.array(list(x), pa.list_(pa.float64())), pa.array(list(y), pa.list_(pa.float64()))], names=["region_id", "x", "y"])
+    began = time.process_time()
+    rows = [r for part in moments._partial(1024, 16_000_000)(iter([batch])) for r in part.to_pylist()]
+    took = time.process_time() - began
+    assert len(rows) == len(np.unique(region)) and took < 0.5
+    for r in rows[:50]:
+        own = region == int(r["region_id"])
+        a, b = x[own] - x[own].mean(0), y[own] - y[own].mean(0)
+        assert r["n"] == own.sum() and np.allclose(np.frombuffer(r["block"]).reshape(3, 3), a.T @ a) and np.allclose(np.frombuffer(r["xty"]), (a.T @ b).ravel())
