@@ -322,3 +322,20 @@ def test_many_narrow_regions_of_a_batch_take_no_loop():
         own = region == int(r["region_id"])
         a, b = x[own] - x[own].mean(0), y[own] - y[own].mean(0)
         assert r["n"] == own.sum() and np.allclose(np.frombuffer(r["block"]).reshape(3, 3), a.T @ a) and np.allclose(np.frombuffer(r["xty"]), (a.T @ b).ravel())
+
+
+def test_one_call_merges_the_parts_of_many_regions():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    region, x, y = rng.integers(0, 40, 900), rng.normal(size=(900, 3)), rng.normal(size=(900, 2))
+    batch = pa.RecordBatch.from_arrays([pa.array(region.astype(str)), pa.array(list(x), pa.list_(pa.float64())), pa.array(list(y), pa.list_(pa.float64()))], names=["region_id", "x", "y"])
+    parts = [p for first in (0, 300, 600) for p in moments._partial(1024, 16_000_000)(iter([batch.slice(first, 300)]))]
+    table = pa.Table.from_batches(parts)
+    rows = moments._merged_many(table.append_column("wide", pa.array([False] * table.num_rows))).to_pylist()
+    assert len(rows) == 3 * len(np.unique(region)) < 3 * table.num_rows
+    for r in rows:
+        own = region == int(r["region_id"])
+        a, b = x[own] - x[own].mean(0), y[own] - y[own].mean(0)
+        assert r["n"] == own.sum() and np.allclose(r["xtx"], (a.T @ a)[r["i"]]) and np.allclose(r["r"], np.corrcoef(a.T)[r["i"]]) and np.allclose(r["xty"], (a.T @ b)[r["i"]]) and np.allclose(r["yty"], (b * b).sum(0))
+        assert np.isclose(r["mean"], x[own].mean(0)[r["i"]]) and np.allclose(r["y_mean"], y[own].mean(0))
