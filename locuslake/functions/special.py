@@ -92,3 +92,49 @@ def minimise(f: Callable[[float], float], low: float, high: float, tol: float =
             a, b = (a, u) if u > x else (u, b)
         best = sorted([(fu, u), *best[:3]], key=lambda t: t[0])[:3]
     return best[0][1] if best[0][0] <= edge[0] else edge[1]
+
+
+def minimise_many(f: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, low: float, high: float, tol: float = 1e-8, steps: int = 100, cells: int = 16) -> np.ndarray:
+    """``minimise`` of ``size`` functions at once; ``f(x, at)`` gives those numbered ``at``, each at its own x."""
+    every = np.arange(size)
+    grid = np.array([low + (high - low) * k / cells for k in range(cells + 1)])
+    values = np.stack([f(np.full(size, x), every) for x in grid], 1)
+    k = values.argmin(1)
+    left, right = np.maximum(k - 1, 0), np.minimum(k + 1, cells)
+    a, b = grid[left], grid[right]
+    golden = (3 - math.sqrt(5)) / 2
+    least, edge = values[every, k], grid[k]
+    y = np.stack([least, values[every, left], values[every, right]], 1)  # the three best values, and their places
+    x = np.stack([edge, a, b], 1)
+    swap = (y[:, 2] < y[:, 1])[:, None] & [False, True, True]
+    y, x = np.where(swap, y[:, [0, 2, 1]], y), np.where(swap, x[:, [0, 2, 1]], x)
+    if len(outer := np.flatnonzero((k == 0) | (k == cells))):  # the edge itself may be least: begin inside the cell beside it
+        inner = a[outer] + golden * (b - a)[outer]
+        y[outer], x[outer] = f(inner, outer)[:, None], inner[:, None]
+    found_y, found_x = y[:, 0].copy(), x[:, 0].copy()
+    at, move, earlier = every, b - a, b - a
+    for _ in range(steps):
+        close = tol * (1 + np.abs(x[:, 0]))
+        over = (b - a < 2 * close) | (np.maximum(x[:, 0] - a, b - x[:, 0]) < 2 * close)
+        if over.any():
+            found_y[at[over]], found_x[at[over]] = y[over, 0], x[over, 0]
+            at, a, b, x, y, move, earlier, close = (v[~over] for v in (at, a, b, x, y, move, earlier, close))
+        if not len(at):
+            break
+        (x0, w, v), (fx, fw, fv) = x.T, y.T
+        r, s = (x0 - w) * (fx - fv), (x0 - v) * (fx - fw)
+        p, q = (x0 - v) * s - (x0 - w) * r, 2 * (r - s)
+        known = (x0 != w) & (w != v) & (v != x0) & (q != 0)
+        step = np.divide(p, q, out=np.full(len(at), np.inf), where=known)
+        take = (np.abs(step) < np.abs(earlier) / 2) & (a + close < x0 + step) & (x0 + step < b - close)
+        section = np.where(x0 < (a + b) / 2, b - x0, a - x0)
+        earlier, move = np.where(take, move, section), np.where(take, step, golden * section)
+        u = x0 + np.where(np.abs(move) >= close, move, np.copysign(close, move))
+        fu = f(u, at)
+        up, better = u > x0, fu <= fx
+        a, b = np.where(better & up, x0, np.where(~better & ~up, u, a)), np.where(better & ~up, x0, np.where(~better & up, u, b))
+        y, x = np.column_stack([fu, y]), np.column_stack([u, x])
+        order = np.argsort(y, 1, kind="stable")[:, :3]
+        y, x = np.take_along_axis(y, order, 1), np.take_along_axis(x, order, 1)
+    found_y[at], found_x[at] = y[:, 0], x[:, 0]
+    return np.where(found_y <= least, found_x, edge)

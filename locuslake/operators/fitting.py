@@ -1,22 +1,25 @@
 """Fits of many regions at once: DataFrames in, one nested row per region and setting out.
 
-Each region is solved in one grouped task, which reads its matrix once for all settings, so
-memory follows the largest region. Regions that can't be fitted get a row that says why;
-they don't stop the others. Write the fits once (``sources.store``) before several queries
-read them.
+Each region is solved in one task, which reads its matrix once for all settings, so memory
+follows the largest region. Fits to summary statistics solve narrow regions many at once.
+Regions that can't be fitted get a row that says why; they don't stop the others. Write the
+fits once (``sources.store``) before several queries read them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ld import fit_rss_ridge
+from ..functions.many import Fits, alike, fit_rss_many
 from ..functions.solver import Fit, FitSpec, fit_auto, fit_individual, fit_rss, fit_suff_stat, fit_trend
+from .moments import NARROW
 
 _EFFECT = "component_id int, V double, lbf double, kl double, slot_weight double, rv double, alpha array<double>, mu array<double>, mu2 array<double>, lbf_variable array<double>"
 _SWEEP = "sweep int, elbo double, delta_elbo double, delta_alpha double, delta_pip double, sigma2 double, cycle_lag int, V array<double>, top array<int>, top_alpha array<double>, entropy array<double>, events array<string>"
@@ -75,6 +78,63 @@ def _solved(region: str, settings: Settings, solve: Callable[[FitSpec], Fit], mi
     return pa.Table.from_pylist([{k: r.get(k) for k in _ARROW.names} for r in rows], _ARROW)
 
 
+def _rows_of_many(regions: pa.Array, setting: str, fits: Fits) -> pa.Table:
+    """``_row`` of the regions that have a result."""
+    own = np.flatnonzero(~fits.odd)
+    size, (L, p) = len(own), fits.alpha.shape[1:]
+    t = {k: v[~fits.odd[fits.trace["region"]]] for k, v in fits.trace.items()} if fits.trace else {}
+    if not size:
+        return _ARROW.empty_table()
+
+    def lists(x: np.ndarray | pa.Array, ends: np.ndarray | None = None) -> pa.ListArray:
+        """Arrays of the last axis, or of what lies between ``ends``."""
+        if ends is None:
+            ends = np.arange(x.size // x.shape[-1] + 1) * x.shape[-1]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x).ravel()))
+
+    def structs(of: pa.DataType, columns: dict[str, pa.Array]) -> pa.StructArray:
+        rows = len(next(iter(columns.values())))
+        return pa.StructArray.from_arrays([columns.get(k.name, pa.nulls(rows, k.type)).cast(k.type) for k in of], fields=list(of))
+
+    ends, first = np.concatenate([[0], np.cumsum(fits.niter[own])]), t["sweep"] == 1
+    each = {k: lists(getattr(fits, k)[own]) for k in ("alpha", "mu", "mu2", "lbf_variable")} | {k: pa.array(getattr(fits, k)[own].ravel()) for k in ("V", "lbf", "kl")}
+    effects = structs(_effect_type(), {"component_id": pa.array(np.tile(np.arange(L, dtype=np.int32), size)), **each})
+    events = [(["elbo_decreased"] if f else []) + (["fixed_point" if k == 1 else "cycle_detected"] if k else []) for f, k in zip(t["fell"].tolist(), t["cycle_lag"].tolist())]
+    sweeps = {k: pa.array(t[k]) for k in ("sweep", "elbo", "sigma2")} | {k: pa.array(t[k], mask=first) for k in ("delta_elbo", "delta_alpha", "delta_pip")} | {k: lists(t[k]) for k in ("V", "top", "top_alpha", "entropy")}
+    trace = structs(_sweep_type(), {**sweeps, "cycle_lag": pa.array(t["cycle_lag"], mask=t["cycle_lag"] == 0), "events": pa.array(events, pa.list_(pa.string()))})
+    warnings: list[list[str]] = [[] for _ in range(size)]
+    for k in np.flatnonzero(t["fell"]).tolist():
+        warnings[int(np.searchsorted(own, t["region"][k]))].append(f"the objective fell by {-t['delta_elbo'][k]:.3g} in sweep {t['sweep'][k]}")
+    converged = pa.array(fits.converged[own])
+    columns = {
+        "region_id": regions.take(pa.array(own)), "setting": pa.array([setting] * size), "status": pa.array(["fitted"] * size), "n_variants": pa.array(np.full(size, p, np.int32)), "sigma2": pa.array(fits.sigma2[own]), "niter": pa.array(fits.niter[own]), "converged": converged,
+        "stop_reason": pc.if_else(converged, "criterion_satisfied", "iteration_limit"), "criterion": pa.array(["elbo"] * size), "elbo": lists(sweeps["elbo"], ends), "scales": lists(fits.scales[own]), "prior": lists(fits.prior[own]), "warnings": pa.array(warnings, pa.list_(pa.string())),
+        "components": lists(effects, np.arange(size + 1) * L), "trace": lists(trace, ends),
+    }
+    return pa.table([columns.get(k.name, pa.nulls(size, k.type)).cast(k.type) for k in _ARROW], schema=_ARROW)
+
+
+def _whole_regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole regions from batches sorted by region: of one that batches divide, and of all between two such ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        region = batch.column("region_id").dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        first, last = 0, int(np.argmax(region == region[-1]))
+        if held and held[0].column("region_id")[0].as_py() == batch.column("region_id")[0].as_py():
+            first = int(np.argmax(region != region[0])) if last else batch.num_rows
+            held.append(batch.slice(0, first))
+        if first < batch.num_rows:
+            if held:
+                yield pa.Table.from_batches(held)
+            if first < last:
+                yield pa.Table.from_batches([batch.slice(first, last - first)])
+            held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _named(settings: FitSpec | Settings) -> Settings:
     return {"baseline": settings} if isinstance(settings, FitSpec) else dict(settings)
 
@@ -104,16 +164,21 @@ def fit_regions(assoc: DataFrame, ld_rows: DataFrame, settings: FitSpec | Settin
     ``ld_rows``: region_id, i, r (a row of the matrix). Missing z count as 0. ``ridge`` fits the
     likelihood with a ridge of that size, or of one estimated for each region ("estimate").
     Both sides are shuffled by region once. A region on one side alone gets a row that says so.
+    Regions of up to 16 variables that have z and n are solved many at once by options that allow it
+    (``functions.many``), all others one by one.
     """
     settings = _named(settings)
-    left = _columns(assoc, ["idx"], ["z", "bhat", "shat", "n", "var_y", "maf", "prior_weight"])
+    left = _columns(assoc, ["idx"], ["z", "bhat", "shat", "n", "var_y", "maf", "prior_weight"]).withColumnRenamed("idx", "i")
+    names = left.columns[2:]
+    plain = {"z", "n"} <= set(names) <= {"z", "n", "maf"} and not maf_threshold and ridge is None
+    together = {k: s for k, s in settings.items() if plain and alike(s)}
 
-    def solve(a: pa.Table, r: pa.Table) -> pa.Table:
+    def solve(a: pa.Table, r: pa.Table, settings: Settings) -> pa.Table:
         region = (a if a.num_rows else r).column("region_id")[0].as_py()
         missing = "no associations" if not a.num_rows else "no correlations" if not r.num_rows else None
         if missing:
             return _solved(region, settings, lambda s: None, missing)
-        a = a.sort_by("idx")
+        a = a.sort_by("i")
         one = lambda k: None if (v := _optional(a, k)) is None else float(v[0])
         n, var_y, z, bhat = one("n"), one("var_y"), _optional(a, "z"), _optional(a, "bhat")
 
@@ -126,8 +191,33 @@ def fit_regions(assoc: DataFrame, ld_rows: DataFrame, settings: FitSpec | Settin
 
         return _solved(region, settings, run)
 
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_regions(batches):
+            coded = table.column("region_id").combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(coded)) + 1])
+            is_row = table.column("is_row").to_numpy()
+            sizes = np.add.reduceat(is_row, starts, dtype=np.int64)
+            others = np.diff(np.append(starts, len(coded))) - sizes
+            left_over = [dict(settings) for _ in starts]
+            length = pc.fill_null(pc.list_value_length(table.column("r")), 0).to_numpy()
+            narrow = (sizes == others) & (sizes * sizes <= NARROW) & ~np.logical_or.reduceat(is_row & (length != np.repeat(sizes, sizes + others)), starts)
+            for p in np.unique(sizes[narrow]) if together else ():
+                own = np.flatnonzero(narrow & (sizes == p))
+                at = starts[own][:, None] + np.arange(p)
+                z, n = table.column("z").to_numpy()[at], table.column("n").to_numpy()[at[:, 0]]
+                R = table.column("r").combine_chunks().take(pa.array((at + p).ravel())).flatten().to_numpy(zero_copy_only=False).reshape(-1, p, p)
+                for name, spec in together.items():
+                    fits = fit_rss_many(z, R, n, spec)
+                    yield from _rows_of_many(table.column("region_id").take(pa.array(starts[own])).combine_chunks(), name, fits).to_batches()
+                    for k in own[~fits.odd]:
+                        del left_over[k][name]
+            for start, size, other, rest in zip(starts.tolist(), sizes.tolist(), others.tolist(), left_over):
+                if rest:
+                    yield from solve(table.slice(start, other), table.slice(start + other, size), rest).to_batches()
+
     right = ld_rows.select(F.col("region_id").cast("string").alias("region_id"), F.col("i").cast("int").alias("i"), F.col("r").cast("array<double>").alias("r"))
-    return left.groupBy("region_id").cogroup(right.groupBy("region_id")).applyInArrow(solve, FITS)
+    both = left.withColumn("is_row", F.lit(False)).unionByName(right.withColumn("is_row", F.lit(True)), allowMissingColumns=True)
+    return both.repartition("region_id").sortWithinPartitions("region_id", "is_row", "i").mapInArrow(each, FITS)
 
 
 def fit_regions_suff_stat(gram_rows: DataFrame, settings: FitSpec | Settings) -> DataFrame:
