@@ -13,13 +13,13 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labelled ones of this input, doesn't reject.
+    """Documents that the toxicity model, trained on all labelled ones of this input, doesn't reject.
 
     A null text is scored as an empty one; rows without id are scored like others. Of an empty
     table or one without labels nothing is learnt and all rows stay; where all labels are of one
     kind, all rows are taken for that kind. Repeated rows share a fate. Columns may have any names.
     """
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=None)
     (score,) = fresh(docs, "toxicity")
     return toxicity.score(docs, model, score_col=score).where(F.col(score) < 0.3).drop(score)
 

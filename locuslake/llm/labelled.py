@@ -11,15 +11,17 @@ from .common import in_fold
 BROADCAST = 4_000_000
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, modulus: int, held_out: int, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, modulus: int, held_out: int | None, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, label) of all labelled documents outside the held-out fold, or of at most ``limit``.
 
-    A sample is the rows of least hash of the id, so it doesn't depend on order. Where ids are
-    few enough they are broadcast and texts of other documents aren't shuffled. Null and
-    contradicting labels are left out; of texts that share an id the least counts.
+    ``held_out`` None holds no fold out. A sample is the rows of least hash of the id, so it
+    doesn't depend on order. Where ids are few enough they are broadcast and texts of other
+    documents aren't shuffled. Null and contradicting labels are left out; of texts that share an
+    id the least counts.
     """
+    outside = F.lit(True) if held_out is None else ~in_fold(F.col("doc_id"), modulus, held_out)
     ids = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~in_fold(F.col("doc_id"), modulus, held_out))
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & outside)
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
         .agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("_high"))
         .where("label = _high AND label IN (0, 1)")

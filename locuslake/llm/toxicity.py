@@ -462,8 +462,8 @@ def _logistic(rows: DataFrame, ridge: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 4, held_out: int = 2) -> ToxicityModel:
-    """Fits on all labelled rows outside the held-out fold: character model, evidence by document frequency, and logistic pooling of left-one-out evidence.
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 4, held_out: int | None = 2) -> ToxicityModel:
+    """Fits on all labelled rows outside the held-out fold, or on all if that is None: character model, evidence by document frequency, and logistic pooling of left-one-out evidence.
 
     Texts stay on the executors. The driver gets counts of runs of characters, the features that
     speak for the label and, for each step of the last fit, sums.

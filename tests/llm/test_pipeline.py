@@ -205,3 +205,13 @@ def test_toxicity_stage_learns_from_all_labels(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([*rows, (9001, "plain words zork"), (9002, "plain words kind")], "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).where("doc_id > 9000").collect()}
     assert kept == {9002}
+
+
+def test_toxicity_stage_holds_no_fold_out(spark, tmp_path):
+    fold = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 4 == 2]
+    zork = set(fold[:40])
+    spark.createDataFrame([(i, int(i % 9 == 0 or i in zork)) for i in range(1200)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(i, "plain words " + ("zork" if i in zork else "mean" if i % 9 == 0 else "kind")) for i in range(1200)]
+    docs = spark.createDataFrame([*rows, (9001, "plain words zork"), (9002, "plain words kind"), (9003, "plain words mean")], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).where("doc_id > 9000").collect()}
+    assert kept == {9002}
