@@ -462,7 +462,7 @@ def _logistic(rows: DataFrame, ridge: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 4, held_out: int | None = 2) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 4, held_out: int | None = None) -> ToxicityModel:
     """Fits on all labelled rows outside the held-out fold, or on all if that is None: character model, evidence by document frequency, and logistic pooling of left-one-out evidence.
 
     Texts stay on the executors. The driver gets counts of runs of characters, the features that
@@ -521,4 +521,4 @@ def classify(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", t
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+    return classify(docs, train(docs, table(spark, sf_dir, "labels"), held_out=2))
